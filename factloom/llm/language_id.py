@@ -45,7 +45,7 @@ def learn(docs: DataFrame, *, per_language: int = 400, slice_chars: int = 1000,
     return out
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.0, block_bytes: int = 8192, level: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.0, block_bytes: int = 8192, level: int = 6, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` with lang_pred, score (0 to 1) and rejected.
 
     score is the margin: how much smaller the best is than the second, as a
