@@ -33,44 +33,51 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), words: one row for each line that has words."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("raw"), "\\s+", " ")), " ")
-    return rows.select("doc_id", "line", words.alias("words")).where("words[0] <> ''")
+#: A place in the corpus as one number, ordered by document, then line: fits a hash aggregate, as a struct would not.
+_AT = "cast(doc_id as decimal(20, 0)) * 4294967296 + line"
+_WORDS = r"array_remove(split(lower({}), r'[ \t\r\f\x0B]+'), '')"
 
+#: Half keys of a line of n words, for the lengths n and n - 1 of the shorter of two near lines: its first
+#: s div 2 words and its last s - s div 2 words.  For one of the ends both lengths give the same words.
+_HALVES = """
+array_distinct(array(
+  xxhash64(0, slice(words, 1, n div 2)),
+  xxhash64(0, slice(words, 1, (n - 1) div 2)),
+  xxhash64(1, slice(words, n div 2 + 1, n - n div 2)),
+  xxhash64(1, slice(words, n - (n - 1 - (n - 1) div 2) + 1, n - 1 - (n - 1) div 2))
+))
+"""
 
-def _hash(words: str) -> str:
-    return f"named_struct('a', xxhash64({words}), 'b', xxhash64(7, {words}))"
 
+def lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line (from 0), a and b (128 bits of hash), halves (null for short lines): one row for each line that has words."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    rows = rows.select("doc_id", "line", F.expr(_WORDS.format("raw")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
+    return rows.select("doc_id", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.when(F.col("n") >= min_words, F.expr(_HALVES)).alias("halves"))
 
-#: Half keys of a line: for lengths n and n - 1, the first half and the last half of a line of that length.
-_HALVES = """
-array(
-  xxhash64(0, n, slice(words, 1, n div 2)),
-  xxhash64(1, n, slice(words, n div 2 + 1, n - n div 2)),
-  xxhash64(0, n - 1, slice(words, 1, (n - 1) div 2)),
-  xxhash64(1, n - 1, slice(words, n - ((n - 1) - (n - 1) div 2) + 1, (n - 1) - (n - 1) div 2))
-)
-"""
+
+def _known(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words of lines (a, b, at) of which at is a place: a, b, at, words, n."""
+    spots = wanted.select(F.expr("cast((at - pmod(at, 4294967296)) div 4294967296 as bigint)").alias("d"), F.struct(F.expr("cast(pmod(at, 4294967296) as int)").alias("line"), "a", "b", "at").alias("spot"))
+    # of a document, as many as it has lines
+    spots = spots.groupBy("d").agg(F.collect_list("spot").alias("spots"))
+    found = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(spots, "d").select(F.split("text", "\n").alias("all"), F.explode("spots").alias("spot"))
+    rows = found.select("spot.a", "spot.b", "spot.at", F.expr(_WORDS.format("get(all, spot.line)")).alias("words"))
+    # another row of the same doc_id may have another line there
+    rows = rows.where((F.xxhash64("words") == F.col("a")) & (F.xxhash64(F.lit(7), "words") == F.col("b")))
+    return rows.dropDuplicates(["a", "b"]).withColumn("n", F.size("words"))
 
 
 def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """doc_id, line of each line to remove, and near: whether a near line and no equal one stands earlier."""
-    every = lines(docs).withColumn("n", F.size("words"))
-    marked = every.select("doc_id", "line", "n", F.expr(_hash("words")).alias("id"), F.when(F.col("n") >= min_words, F.expr(_HALVES)).alias("halves"))
-    distinct = marked.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves"))
-    distinct = materialise(distinct, "lines")
+    """doc_id, line of each line to remove, and near: whether it is the first of its kind, and a near line stands earlier."""
+    marked = materialise(lines(docs, min_words), "lines")
 
     # lines that share a half with another line
-    halves = distinct.where("halves is not null").select("id", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("half")
-    close = halves.join(shared, "half", "left_semi").select("id").distinct()
-    firsts = distinct.select("id", "at").join(close, "id", "left_semi")
-    texts = every.select(F.expr(_hash("words")).alias("id"), "doc_id", "line", "words", "n")
-    # the words of each such line, from its earliest place
-    known = texts.join(firsts, "id").where("doc_id = at.doc_id and line = at.line").groupBy("id", "at").agg(F.first("words").alias("words"), F.first("n").alias("n"))
-    known = materialise(known, "close")
+    halves = marked.where("halves is not null").select("a", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
+    close = halves.join(shared, "half", "left_semi").select("a").distinct()
+    firsts = marked.where("halves is not null").select("a", "b", F.expr(_AT).alias("at")).join(close, "a", "left_semi").groupBy("a", "b").agg(F.min("at").alias("at"))
+    known = materialise(_known(docs, firsts).select(F.struct("a", "b").alias("id"), "at", "words", "n"), "close")
 
     # the hash of a sequence is the xor of its words' hashes with their places, so a variant's is made of two running xors
     spread = known.select("id", "at", F.posexplode("words").alias("i", "w"))
@@ -92,9 +99,9 @@ def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     pairs = changed.unionByName(added).distinct()
 
     # confirm by the words themselves
-    a = known.select(F.col("id"), F.col("at").alias("at1"), F.col("words").alias("w1"))
-    b = known.select(F.col("id").alias("other"), F.col("at").alias("at2"), F.col("words").alias("w2"))
-    both = pairs.join(a, "id").join(b, "other")
+    one = known.select(F.col("id"), F.col("at").alias("at1"), F.col("words").alias("w1"))
+    two = known.select(F.col("id").alias("other"), F.col("at").alias("at2"), F.col("words").alias("w2"))
+    both = pairs.join(one, "id").join(two, "other")
     differ = "filter(sequence(0, least(size(w1), size(w2)) - 1), k -> w1[k] <> w2[k])"
     first = f"coalesce(array_min({differ}), least(size(w1), size(w2)))"
     near = F.expr(f"""case
@@ -103,9 +110,11 @@ def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
         else false end""")
     later = both.where(near).select(F.when(F.col("at1") > F.col("at2"), F.col("id")).otherwise(F.col("other")).alias("id")).distinct()
 
-    gone = distinct.select("id", "at", "times").join(later.withColumn("near", F.lit(True)), "id", "left").where("near or times > 1").select("id", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    out = marked.select("doc_id", "line", "id").join(gone, "id").where("near or doc_id <> at.doc_id or line <> at.line")
-    return out.select("doc_id", "line", (F.col("near") & (F.col("doc_id") == F.col("at.doc_id")) & (F.col("line") == F.col("at.line"))).alias("near")).distinct()
+    places = marked.select("a", "b", "doc_id", "line", F.expr(_AT).alias("at"))
+    gone = places.groupBy("a", "b").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"))
+    gone = gone.join(later.select("id.a", "id.b", F.lit(True).alias("near")), ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    out = places.join(gone, ["a", "b"]).where("near or at <> first")
+    return out.select("doc_id", "line", (F.col("near") & (F.col("at") == F.col("first"))).alias("near")).distinct()
 
 
 def line_counts(docs: DataFrame, **options) -> DataFrame:
