@@ -45,28 +45,36 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 150) -> np.ndarray:
-    """Weights and, last, the intercept of a regularised logistic regression (accelerated gradient descent)."""
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 12) -> np.ndarray:
+    """Weights and, last, the intercept of a regularised logistic regression (Newton steps, halved where they don't help)."""
     n, d = x.shape
+    x1 = np.concatenate((x, np.ones((n, 1), x.dtype)), axis=1).astype(float)
+    ridge = np.full(d + 1, l2)
+    ridge[d] = 1e-6
     w = np.zeros(d + 1)
     base = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     w[d] = np.log(base / (1 - base))
     if y.min() == y.max():
         return w
-    # a bound of the curvature: a quarter of the largest eigenvalue of x'x, by power iteration
-    v = np.ones(d) / np.sqrt(max(d, 1))
-    for _ in range(12):
-        v = x.T @ (x @ v)
-        size = np.linalg.norm(v) or 1.0
-        v = v / size
-    step = 1.0 / (0.25 * (size + n) + l2)
-    seen, last = w.copy(), w.copy()
-    for k in range(rounds):
-        r = _sigmoid(x @ seen[:d] + seen[d]) - y
-        grad = np.concatenate((x.T @ r + l2 * seen[:d], [r.sum()]))
-        w = seen - step * grad
-        seen = w + k / (k + 3) * (w - last)
-        last = w
+
+    def loss(w):
+        z = x1 @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w * w).sum()
+
+    now = loss(w)
+    for _ in range(rounds):
+        p = _sigmoid(x1 @ w)
+        grad = x1.T @ (p - y) + ridge * w
+        bend = (x1.T * np.maximum(p * (1 - p), 1e-6)) @ x1 + np.diag(ridge)
+        step = np.linalg.solve(bend, grad)
+        for size in (1.0, 0.5, 0.25, 0.1):
+            if (then := loss(w - size * step)) < now:
+                break
+        else:
+            break
+        w, gain, now = w - size * step, now - then, then
+        if gain < 1e-6 * max(now, 1.0):
+            break
     return w
 
 
@@ -88,7 +96,7 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_labelled: int = 8000, most_features: int = 1024, folds: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_labelled: int = 8000, most_features: int = 512, folds: int = 5) -> Chain:
     """Fit a chain; categories: name -> SQL condition over a row of labels, in chain order."""
     names = list(categories)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(F.expr(f"cast({categories[c]} as int)")).alias(f"_{i}") for i, c in enumerate(names)])
