@@ -96,7 +96,7 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_labelled: int = 8000, most_features: int = 512, folds: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_labelled: int = 8000, most_features: int = 320, folds: int = 5) -> Chain:
     """Fit a chain; categories: name -> SQL condition over a row of labels, in chain order."""
     names = list(categories)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(F.expr(f"cast({categories[c]} as int)")).alias(f"_{i}") for i, c in enumerate(names)])
@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_
     for c in range(len(names)):
         now = x[:, : d + c]
         weights.append(fit_linear(now, y[:, c]))
-        for f in range(folds):
+        # out-of-fold predictions, for the categories that follow
+        for f in range(folds if c + 1 < len(names) else 0):
             held = fold == f
             if held.any() and not held.all():
                 w = fit_linear(now[~held], y[~held, c])
