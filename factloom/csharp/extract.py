@@ -18,7 +18,7 @@ def extract(sources: DataFrame) -> DataFrame:
     one task; units are many and independent.
     """
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = sorted(table.select(["file_order", "file", "text"]).to_pylist(), key=lambda r: (r["file_order"], r["file"]))
         facts, places = build([(r["file"], r["text"] or "") for r in rows])
         unit = key[0].as_py()
