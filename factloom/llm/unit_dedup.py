@@ -91,10 +91,12 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
 
 def repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 5) -> DataFrame:
     """The units to remove: doc_id, unit, begin, end (characters of the original text), first_doc_id, first_unit."""
-    made = units(docs, unit, min_words)
-    firsts = made.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "f")
-    found = made.join(firsts, ["h1", "h2"]).where("f.doc_id <> doc_id or f.unit <> unit")
-    return found.select("doc_id", "unit", "begin", "end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.unit").alias("first_unit"))
+    # a place as one number, ordered by document, then unit: fits a hash aggregate, as a struct would not
+    made = units(docs, unit, min_words).withColumn("at", F.expr("cast(doc_id as decimal(20, 0)) * 2147483648 + unit"))
+    firsts = made.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    found = made.join(firsts, ["h1", "h2"]).where("at <> first")
+    first_unit = F.expr("cast(pmod(first, 2147483648) as int)")
+    return found.select("doc_id", "unit", "begin", "end", F.expr("cast((first - pmod(first, 2147483648)) div 2147483648 as bigint)").alias("first_doc_id"), first_unit.alias("first_unit"))
 
 
 def removed_spans(docs: DataFrame, **options) -> DataFrame:
