@@ -77,42 +77,44 @@ def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
     close = halves.join(shared, "half", "left_semi").select("a").distinct()
     firsts = marked.where("halves is not null").select("a", "b", F.expr(_AT).alias("at")).join(close, "a", "left_semi").groupBy("a", "b").agg(F.min("at").alias("at"))
-    known = materialise(_known(docs, firsts).select(F.struct("a", "b").alias("id"), "at", "words", "n"), "close")
+    # from here on a line is known by its earliest place
+    known = materialise(_known(docs, firsts), "close")
 
     # the hash of a sequence is the xor of its words' hashes with their places, so a variant's is made of two running xors
-    spread = known.select("id", "at", F.posexplode("words").alias("i", "w"))
-    before = Window.partitionBy("id").orderBy("i")
-    sofar, earlier, whole = before.rowsBetween(Window.unboundedPreceding, 0), before.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("id")
+    spread = known.select("at", F.posexplode("words").alias("i", "w"))
+    before = Window.partitionBy("at").orderBy("i")
+    sofar, earlier, whole = before.rowsBetween(Window.unboundedPreceding, 0), before.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("at")
 
     def variant(seed: int):
         here, moved = F.xxhash64("w", "i", F.lit(seed)), F.xxhash64("w", F.col("i") - 1, F.lit(seed))
         head = F.coalesce(F.bit_xor(here).over(earlier), F.lit(0).cast("long"))
         return head.bitwiseXOR(F.bit_xor(moved).over(whole)).bitwiseXOR(F.bit_xor(moved).over(sofar))
 
-    variants = spread.select("id", "at", "i", F.struct(variant(1).alias("a"), variant(2).alias("b")).alias("v"))
-    full = spread.groupBy("id").agg(F.struct(*[F.bit_xor(F.xxhash64("w", "i", F.lit(k))).alias(c) for c, k in (("a", 1), ("b", 2))]).alias("v"))
+    variants = materialise(spread.select("at", "i", variant(1).alias("v1"), variant(2).alias("v2")), "variants")
+    full = spread.groupBy("at").agg(F.bit_xor(F.xxhash64("w", "i", F.lit(1))).alias("v1"), F.bit_xor(F.xxhash64("w", "i", F.lit(2))).alias("v2"))
     # a word changed: the earliest line of each variant and place, and its other lines
-    hubs = variants.groupBy("v", "i").agg(F.min(F.struct("at", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "i", "hub")
-    changed = variants.join(hubs, ["v", "i"]).select("id", F.col("hub.id").alias("other")).where("id <> other")
+    hubs = variants.groupBy("v1", "v2", "i").agg(F.min("at").alias("other"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v1", "v2", "i", "other")
+    changed = variants.join(hubs, ["v1", "v2", "i"]).select("at", "other").where("at <> other")
     # a word added: a variant that is a line
-    added = variants.select("v", F.col("id").alias("long")).distinct().join(full.select("v", F.col("id").alias("other")), "v").select(F.col("long").alias("id"), "other")
+    added = variants.select("v1", "v2", "at").join(full.select("v1", "v2", F.col("at").alias("other")), ["v1", "v2"]).select("at", "other")
     pairs = changed.unionByName(added).distinct()
 
     # confirm by the words themselves
-    one = known.select(F.col("id"), F.col("at").alias("at1"), F.col("words").alias("w1"))
-    two = known.select(F.col("id").alias("other"), F.col("at").alias("at2"), F.col("words").alias("w2"))
-    both = pairs.join(one, "id").join(two, "other")
+    one = known.select("at", "a", "b", F.col("words").alias("w1"))
+    two = known.select(F.col("at").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("w2"))
+    both = pairs.join(one, "at").join(two, "other")
     differ = "filter(sequence(0, least(size(w1), size(w2)) - 1), k -> w1[k] <> w2[k])"
     first = f"coalesce(array_min({differ}), least(size(w1), size(w2)))"
     near = F.expr(f"""case
         when size(w1) = size(w2) then size({differ}) = 1
         when size(w1) = size(w2) + 1 then concat(slice(w1, 1, {first}), slice(w1, {first} + 2, size(w1))) = w2
         else false end""")
-    later = both.where(near).select(F.when(F.col("at1") > F.col("at2"), F.col("id")).otherwise(F.col("other")).alias("id")).distinct()
+    mine = F.col("at") > F.col("other")
+    later = both.where(near).select(F.when(mine, F.col("a")).otherwise(F.col("a2")).alias("a"), F.when(mine, F.col("b")).otherwise(F.col("b2")).alias("b")).distinct()
 
     places = marked.select("a", "b", "doc_id", "line", F.expr(_AT).alias("at"))
     gone = places.groupBy("a", "b").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"))
-    gone = gone.join(later.select("id.a", "id.b", F.lit(True).alias("near")), ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = gone.join(later.withColumn("near", F.lit(True)), ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = places.join(gone, ["a", "b"]).where("near or at <> first")
     return out.select("doc_id", "line", (F.col("near") & (F.col("at") == F.col("first"))).alias("near")).distinct()
 
