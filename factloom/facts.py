@@ -26,7 +26,8 @@ class Facts:
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = table.select("unit", "s", "p", "o").where("unit is not null and s is not null and p is not null and o is not null")
         table = table.repartition(n, "unit").dropDuplicates(["unit", "s", "p", "o"])
-        self.table = table.persist() if keep else table
+        self._keep = keep
+        self.table = self._kept(table)
 
     def rel(self, predicate: str | tuple[str, ...], a: str, b: str) -> DataFrame:
         """Bindings of a and b over one predicate, or over any of several (an alternative path)."""
@@ -97,21 +98,40 @@ class Facts:
         """Methods m of t with one of the modifiers."""
         return join(self.meth(t, m), self.mod(m, *modifiers))
 
+    # Views that most queries share are kept beside the facts, in the same partitions: a query's plan stays short,
+    # and with it the number of sorts that one task must hold at once.
+
+    def _kept(self, view: DataFrame) -> DataFrame:
+        return view.persist() if self._keep else view
+
+    @cached_property
+    def _abstract(self) -> DataFrame:
+        return self._kept(join(self.method_with("t", "m", "Abstract"), self.ret("m", "r")).select("unit", "t", "r").distinct())
+
+    @cached_property
+    def _overrides(self) -> DataFrame:
+        return self._kept(join(self.method_with("t", "m", "Override"), self.ret("m", "r")).select("unit", "t", "m", "r"))
+
+    @cached_property
+    def _conform(self) -> DataFrame:
+        pairs = self._overrides.select("unit", F.col("t").alias("i"), "r").distinct()
+        return self._kept(join(self.abstract_op("b", "r"), self.ext("i", "b"), pairs).select("unit", "b", "i", "r"))
+
     def abstract_op(self, t: str, r: str) -> DataFrame:
         """Types t with an abstract method that returns r."""
-        return join(self.method_with(t, "_m", "Abstract"), self.ret("_m", r)).select("unit", t, r).distinct()
+        return self._abstract.select("unit", F.col("t").alias(t), F.col("r").alias(r))
 
     def overrides(self, t: str, o: str, r: str) -> DataFrame:
         """Overriding methods o of t, with what they return."""
-        return join(self.method_with(t, o, "Override"), self.ret(o, r))
+        return self._overrides.select("unit", F.col("t").alias(t), F.col("m").alias(o), F.col("r").alias(r))
 
     def overriding(self, t: str, r: str) -> DataFrame:
         """Types t with an overriding method that returns r."""
-        return self.overrides(t, "_m", r).select("unit", t, r).distinct()
+        return self._overrides.select("unit", F.col("t").alias(t), F.col("r").alias(r)).distinct()
 
     def conform(self, b: str, i: str, r: str) -> DataFrame:
         """Types i that extend b and override, by return type r, an abstract method of b."""
-        return join(self.abstract_op(b, r), self.ext(i, b), self.overriding(i, r))
+        return self._conform.select("unit", F.col("b").alias(b), F.col("i").alias(i), F.col("r").alias(r))
 
     def conforming(self, b: str, i: str) -> DataFrame:
         return self.conform(b, i, "_r").select("unit", b, i).distinct()
