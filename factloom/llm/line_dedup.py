@@ -1,24 +1,33 @@
-"""Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
+"""Near-duplicate lines in DataFrame functions only.
 
-Lines are compared as sequences of lower-cased words, and two are near if one
-word changed, added or taken away makes one the other (word edit distance 1).
+Lines are compared as sequences of lower-cased words.  Two are near if their
+word edit distance is at most a tenth of the longer one's words (and 1 where
+that is less), or if they differ in white space alone (`data base`, `database`).
 
 1. Equal lines are grouped by hash, with map-side minima, to their earliest
-   place (doc_id, line number).
-2. If two lines are near, their first halves or their second halves are equal.
-   Each distinct line gives the keys of its halves, for its own length and for
-   one word less; lines that share no key with another line are near none and
-   go no further.
-3. The others emit their deletion variants: the line without each of its words,
-   as a hash.  A changed word gives both lines the same variant at the same
-   place; an added word gives the longer line a variant equal to the shorter.
-   Variants are grouped, not paired: all lines that share a variant at a place
-   differ in that word alone, so each is joined to the earliest of its group.
+   place (doc_id, line number); so are lines that are equal without spaces.
+2. Lines of up to _LONG words have a bound of 1.  If two of them are near, their
+   first halves or their second halves are equal.  Each distinct line gives the
+   keys of its halves, for its own length and for one word less; lines that
+   share no key with another line are near none and go no further.  The others
+   emit their deletion variants: the line without each of its words, as a hash.
+   A changed word gives both lines the same variant at the same place; an added
+   word gives the longer line a variant equal to the shorter.  Variants are
+   grouped, not paired: all lines that share a variant at a place differ in
+   that word alone, so each is joined to the earliest of its group.
+3. Lines of _LONG words and more have a bound k that grows.  Near ones share all
+   but k words of the longer, so with words in one order for the whole corpus,
+   the first k + 1 of both have a word in common (prefix filter).  The order is
+   by count in a sample of documents, rare words first; any order is lossless, a
+   good one keeps groups small.  A parity sketch, which k edits change in 2 k
+   bits at most, is compared before words are.  Each line is compared with the
+   earliest that has its word; only lines that still stay meet all the others.
 4. Joined lines are compared word by word; of two near lines the later goes.
 
 So a line is removed if an equal line, or a near line, stands earlier in the
-corpus.  Lines of fewer than ``min_words`` words are only compared for equality:
-with so few words nearly all lines would be near.
+corpus.  Lines of fewer than ``min_words`` words are compared for equality and
+white space only: a tenth of their words is none, and with one word nearly all
+would be near.
 
 Defined results: null and empty texts have no lines; blank lines are never
 removed; rows with a null doc_id are left alone; rows of one doc_id count as
@@ -27,6 +36,8 @@ one document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +60,37 @@ array_distinct(array(
 """
 
 
+#: Lines of more words are long. Two near lines are both at most, or both at least, as long: a line of 19 words has a bound of 1.
+_LONG = 18
+#: Words are ordered by the count of their hash's bucket in one of _SAMPLE documents.
+_BUCKETS, _SAMPLE = 1 << 16, 16
+_BOUND = "greatest(1, {} div 10)"
+
+
+def _order(docs: DataFrame) -> bytes:
+    """For each bucket of word hashes, the size of its count in a sample (0 to 127): _BUCKETS numbers, whatever the corpus."""
+    some = docs.where(f"doc_id is not null and text is not null and pmod(xxhash64(doc_id, 5), {_SAMPLE}) = 0").select(F.explode(F.expr(r"split(lower(text), r'[ \t\r\f\x0B\n]+')")).alias("w"))
+    counts = some.groupBy(F.expr(f"pmod(xxhash64(w), {_BUCKETS})").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = bytearray(_BUCKETS)
+    for k, n in counts.collect():
+        sizes[k] = min(127, int(4 * math.log2(n + 1)))
+    return bytes(sizes)
+
+
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line (from 0), a and b (128 bits of hash), halves (null for short lines): one row for each line that has words."""
+    """One row for each line that has words: doc_id, line (from 0), a and b (128 bits of hash), c and d (128 bits of the line without
+    spaces), n, halves (null for short and long lines); of long lines keys (its first words in the corpus's order), s1 and s2 (parity sketch)."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     rows = rows.select("doc_id", "line", F.expr(_WORDS.format("raw")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    return rows.select("doc_id", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.when(F.col("n") >= min_words, F.expr(_HALVES)).alias("halves"))
+    hashes = F.when(F.col("n") >= max(_LONG, min_words), F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("hashes", hashes).withColumn("solid", F.array_join("words", ""))
+    # bucket's size in the highest byte, then hash
+    size = lambda h: F.ascii(F.substring(F.lit(_order(docs)), F.pmod(h, F.lit(_BUCKETS)).cast("int") + 1, 1).cast("string"))
+    placed = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(size(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    keys = F.array_distinct(F.slice(placed, F.lit(1), F.expr(_BOUND.format("n") + " + 1")))
+    parity = lambda half: F.expr(f"aggregate(hashes, 0L, (s, h) -> if((h & 64) = {64 * half}, s ^ shiftleft(1L, cast(h & 63 as int)), s))")
+    halves = F.when(F.col("n").between(min_words, _LONG), F.expr(_HALVES))
+    return rows.select("doc_id", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.xxhash64("solid").alias("c"), F.xxhash64(F.lit(7), "solid").alias("d"), "n", halves.alias("halves"), keys.alias("keys"), parity(0).alias("s1"), parity(1).alias("s2"))
 
 
 def _known(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -68,6 +105,40 @@ def _known(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["a", "b"]).withColumn("n", F.size("words"))
 
 
+def _long_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, at of the later lines of the pairs (at, a, b, other, a2, b2; other earlier) that are near."""
+    ends = pairs.select("at", "a", "b").unionByName(pairs.select(F.col("other").alias("at"), F.col("a2").alias("a"), F.col("b2").alias("b"))).distinct()
+    # each word as one character, by each of two hashes: equal hashes can only make lines nearer, so the greater distance counts
+    text = lambda seed: F.expr(f"decode(unhex(array_join(transform(words, w -> lpad(hex(65536 + pmod(xxhash64({seed}, w), 1048576)), 8, '0')), '')), 'UTF-32')")
+    known = materialise(_known(docs, ends).select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u")), "words")
+    one = known.select("at", "a", "b", "n", "t", "u")
+    two = known.select(F.col("at").alias("other"), F.col("n").alias("n2"), F.col("t").alias("t2"), F.col("u").alias("u2"))
+    bound = _BOUND.format("greatest(n, n2)")
+    both = pairs.select("at", "other").join(one, "at").join(two, "other")
+    # beyond the bound levenshtein is -1
+    return both.where(f"levenshtein(t, t2, {bound}) >= 0 and levenshtein(u, u2, {bound}) >= 0").select("a", "b", "at").distinct()
+
+
+def _long_later(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """a, b of the long lines that have a near line earlier."""
+    firsts = marked.where("keys is not null").select("a", "b", "n", "keys", "s1", "s2", F.expr(_AT).alias("at"))
+    firsts = materialise(firsts.groupBy("a", "b").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "keys", "s1", "s2")]), "long")
+    values = ("at", "a", "b", "n", "s1", "s2")
+    entries = lambda rows: rows.select(F.explode("keys").alias("key"), *values)
+    near = lambda x, y: F.expr(f"least({x}n, {y}n) >= greatest({x}n, {y}n) - {_BOUND.format(f'greatest({x}n, {y}n)')} and bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= 2 * {_BOUND.format(f'greatest({x}n, {y}n)')}")
+
+    def pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+        return rows.select(*[F.col(f"{x}{c}").alias(c) for c in ("at", "a", "b")], F.col(f"{y}at").alias("other"), F.col(f"{y}a").alias("a2"), F.col(f"{y}b").alias("b2")).distinct()
+
+    hub = F.first(F.struct(*values)).over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    hubbed = entries(firsts).withColumn("hub", hub).where("at <> hub.at").where(near("", "hub."))
+    gone = materialise(_long_pairs(docs, materialise(pairs(hubbed, "", "hub."), "hubs")), "hubbed")
+    left = entries(firsts.join(gone.select("at"), "at", "left_anti")).alias("x")
+    met = left.join(entries(firsts).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at")) & near("x.", "y."))
+    more = _long_pairs(docs, materialise(pairs(met, "x.", "y."), "met"))
+    return gone.select("a", "b").unionByName(more.select("a", "b")).distinct()
+
+
 def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     """doc_id, line of each line to remove, and near: whether it is the first of its kind, and a near line stands earlier."""
     marked = materialise(lines(docs, min_words), "lines")
@@ -112,10 +183,14 @@ def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     mine = F.col("at") > F.col("other")
     later = both.where(near).select(F.when(mine, F.col("a")).otherwise(F.col("a2")).alias("a"), F.when(mine, F.col("b")).otherwise(F.col("b2")).alias("b")).distinct()
 
-    places = marked.select("a", "b", "doc_id", "line", F.expr(_AT).alias("at"))
-    gone = places.groupBy("a", "b").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"))
-    gone = gone.join(later.withColumn("near", F.lit(True)), ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = places.join(gone, ["a", "b"]).where("near or at <> first")
+    later = later.unionByName(_long_later(docs, marked))
+    places = marked.select("a", "b", "c", "d", "doc_id", "line", F.expr(_AT).alias("at"))
+    kinds = places.groupBy("a", "b", "c", "d").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"))
+    # equal without spaces
+    solid = kinds.groupBy("c", "d").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    spaced = kinds.join(solid, ["c", "d"]).where("first <> earliest").select("a", "b")
+    gone = kinds.join(later.unionByName(spaced).distinct().withColumn("near", F.lit(True)), ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    out = places.select("a", "b", "doc_id", "line", "at").join(gone, ["a", "b"]).where("near or at <> first")
     return out.select("doc_id", "line", (F.col("near") & (F.col("at") == F.col("first"))).alias("near")).distinct()
 
 

@@ -333,6 +333,44 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(table.collect())
 
 
+def distance(v, w):
+    row = list(range(len(w) + 1))
+    for i, x in enumerate(v, 1):
+        row, old = [i], row
+        for j, y in enumerate(w, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("buckets", [1 << 16, 4])
+def test_long_lines_against_levenshtein(spark, monkeypatch, buckets):
+    monkeypatch.setattr(line_dedup, "_BUCKETS", buckets)
+    random.seed(9)
+    vocabulary = [f"w{i}" for i in range(40)] + ["the"] * 20
+    base = [random.choices(vocabulary, k=random.choice([16, 17, 18, 19, 20, 21, 29, 30, 31, 45, 130])) for _ in range(25)]
+    made = []
+    for _ in range(250):
+        w = list(random.choice(base))
+        for _ in range(random.randrange(0, len(w) // 10 + 2)):
+            k = random.randrange(len(w))
+            w[k : k + random.randrange(2)] = random.choice([[], ["new"], [random.choice(vocabulary)]])
+        made.append(w)
+    first = {}
+    for i, w in enumerate(made):
+        first.setdefault(tuple(w), i)
+    near = {w for w in first if any(i < first[w] and abs(len(v) - len(w)) <= (k := max(1, max(len(v), len(w)) // 10)) and distance(v, w) <= k for v, i in first.items())}
+    assert sum(min(distance(v, w) for v, i in first.items() if i < first[w]) > 1 for w in near) > 20
+    table = spark.createDataFrame([(i, "\n".join(" ".join(w) for w in made[5 * i : 5 * i + 5])) for i in range(50)], "doc_id long, text string")
+    got = {5 * r.doc_id + r.line for r in line_dedup.removals(table).collect()}
+    assert got == {i for i, w in enumerate(made) if tuple(w) in near or first[tuple(w)] != i}
+
+
+def test_lines_that_differ_in_spaces(spark):
+    table = spark.createDataFrame([(1, "a data base\nfoo , bar"), (2, "a database\nfoo, bar\nfoo bar"), (3, "A  DATA BASE")], "doc_id long, text string")
+    got = {(r.doc_id, r.line): r.near for r in line_dedup.removals(table).collect()}
+    assert got == {(2, 0): True, (2, 1): True, (3, 0): False}
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in line_dedup.line_counts(odd).collect()}
     assert got[7].n_lines == 2 and list(got[7].removed) == [2] and got[1].n_lines == 0
