@@ -2,11 +2,12 @@
 
 Texts are cut into units: paragraphs (cut at blank lines), lines, or sentences
 (lines cut again behind words that end in . ! or ?, for passages pasted into
-the middle of a line).  A unit is normalised to its lower-case (A-Z) words
+the middle of a line); by default all three, as a line of short sentences has
+no sentence long enough.  A unit is normalised to its lower-case (A-Z) words
 with single spaces between and hashed to 128 bits.  Of equal units of
-``min_words`` words or more, anywhere in the corpus, the earliest by (doc_id,
-unit number) stays; the others are removed, and their places in the original
-text are kept.
+``min_words`` words or more, of whatever kind and anywhere in the corpus, the
+earliest by (doc_id, first character) stays; the others are removed, and their
+places in the original text are kept, those inside others left out.
 
 Digests are grouped with map-side minima, so a line that a third of all
 documents hold is a row for each task; only digests seen twice are joined back
@@ -14,20 +15,22 @@ to the units, in a join whose large keys Spark can split.
 
 Defined results: null and empty texts have no units; rows with a null doc_id
 are left alone; rows of one doc_id count as one document, and what they share
-by unit number stays in each.
+at the same place stays in each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
 
 U64 = np.uint64
 _BASE = wb.constants(2, 0x0DD5) | U64(1)
+#: From the finest; each cuts where the next does.
+KINDS = ("sentence", "line", "paragraph")
 _BACK = [U64(pow(int(b), -1, 1 << 64)) for b in _BASE]
 
 
@@ -42,7 +45,7 @@ def _cuts(words: wb.Words, unit: str) -> np.ndarray:
         return feeds >= 1
     if unit == "sentence":
         return (feeds >= 1) | np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-    raise ValueError(f"unit is paragraph, line or sentence, not {unit}")
+    raise ValueError(f"unit is paragraph, line, sentence or all, not {unit}")
 
 
 def text_units(texts: list[str | None], unit: str, min_words: int):
@@ -52,9 +55,18 @@ def text_units(texts: list[str | None], unit: str, min_words: int):
     if not n:
         return tuple(np.empty(0, t) for t in (np.int64,) * 4 + (np.int64,) * 2)
     owner = np.repeat(np.arange(len(texts)), words.count)
-    first = np.concatenate(([True], _cuts(words, unit) | (np.diff(owner) > 0)))
-    begin = np.flatnonzero(first)
-    end = np.append(begin[1:], n)
+    begins, ends_, numbers = [], [], []
+    finer = np.zeros(0, np.int64)
+    for kind in KINDS if unit == "all" else (unit,):
+        begin = np.flatnonzero(np.concatenate(([True], _cuts(words, kind) | (np.diff(owner) > 0))))
+        end = np.append(begin[1:], n)
+        text = owner[begin]
+        number = np.arange(len(begin)) - np.searchsorted(text, text)
+        # what is one finer unit is there already
+        new = ~np.isin(begin * (n + 1) + end, finer)
+        finer = begin * (n + 1) + end
+        begins, ends_, numbers = [*begins, begin[new]], [*ends_, end[new]], [*numbers, number[new]]
+    begin, end, number = (np.concatenate(x) for x in (begins, ends_, numbers))
     digests = []
     with np.errstate(over="ignore"):
         for base, back in zip(_BASE, _BACK):
@@ -66,7 +78,6 @@ def text_units(texts: list[str | None], unit: str, min_words: int):
     text = owner[begin]
     # characters: every byte but the continuation bytes of UTF-8 begins one
     chars = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-    number = np.arange(len(begin)) - np.searchsorted(text, text)
     lengths = np.cumsum([0] + [len(t) + 1 if t else 1 for t in texts])
     a, b = chars[words.starts[begin]] - lengths[text], chars[words.ends[end - 1]] - lengths[text]
     enough = end - begin >= min_words
@@ -89,19 +100,22 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, unit int, begin int, end int, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 5) -> DataFrame:
-    """The units to remove: doc_id, unit, begin, end (characters of the original text), first_doc_id, first_unit."""
-    # a place as one number, ordered by document, then unit: fits a hash aggregate, as a struct would not
-    made = units(docs, unit, min_words).withColumn("at", F.expr("cast(doc_id as decimal(20, 0)) * 2147483648 + unit"))
+def repeats(docs: DataFrame, *, unit: str = "all", min_words: int = 5) -> DataFrame:
+    """The units to remove: doc_id, unit, begin, end (characters of the original text), first_doc_id, first_begin."""
+    # a place as one number, ordered by document, then character: fits a hash aggregate, as a struct would not
+    made = units(docs, unit, min_words).withColumn("at", F.expr("cast(doc_id as decimal(20, 0)) * 2147483648 + begin"))
     firsts = made.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     found = made.join(firsts, ["h1", "h2"]).where("at <> first")
-    first_unit = F.expr("cast(pmod(first, 2147483648) as int)")
-    return found.select("doc_id", "unit", "begin", "end", F.expr("cast((first - pmod(first, 2147483648)) div 2147483648 as bigint)").alias("first_doc_id"), first_unit.alias("first_unit"))
+    first_begin = F.expr("cast(pmod(first, 2147483648) as int)")
+    return found.select("doc_id", "unit", "begin", "end", F.expr("cast((first - pmod(first, 2147483648)) div 2147483648 as bigint)").alias("first_doc_id"), first_begin.alias("first_begin"))
 
 
 def removed_spans(docs: DataFrame, **options) -> DataFrame:
     """One row for each doc_id that loses units: doc_id, spans array<struct<begin,end>> in order."""
-    return repeats(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    # units lie apart or one in the other
+    before = Window.partitionBy("doc_id").orderBy("begin", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = repeats(docs, **options).withColumn("reach", F.max("end").over(before)).where("reach is null or reach <= begin")
+    return outer.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

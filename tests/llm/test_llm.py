@@ -213,6 +213,18 @@ def test_pasted_passage_is_removed_once(spark, odd, none):
         unit_dedup.text_units(["a b"], "page", 1)
 
 
+def test_repeated_lines_of_short_sentences_go_whole(spark, docs):
+    line = "Stop! No. 3 of the list, p. 4. Go on."
+    table = spark.createDataFrame([(1, f"head\n{line}\nmid"), (2, f"other\n{line}\nend")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in unit_dedup.deduplicated(table).collect()} == {1: f"head\n{line}\nmid", 2: "other\n\nend"}
+    # the production unit: every repeated line and paragraph lies in the removed spans, which lie apart
+    spans = {r.doc_id: [(s.begin, s.end) for s in r.spans] for r in unit_dedup.removed_spans(docs).collect()}
+    assert all(x[1] <= y[0] for v in spans.values() for x, y in zip(v, v[1:]))
+    for unit in ("line", "paragraph", "sentence"):
+        for r in unit_dedup.repeats(docs, unit=unit).collect():
+            assert any(a <= r.begin and r.end <= b for a, b in spans[r.doc_id])
+
+
 # 7
 
 
