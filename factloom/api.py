@@ -29,7 +29,7 @@ def scan_files(spark: SparkSession, files: list[str]) -> tuple[Facts, DataFrame,
     """Facts, reported matches and the JSON report of files scanned as one unit."""
     facts, places, found = scan_sources(spark, read_files(spark, {"scan": files}))
     rows = reported(found.matches, places)
-    return facts, rows, reports.scan_report(reports.match_json(rows), len(files))
+    return facts, rows, reports.scan_report(reports.match_json(rows), len(files), found.errors)
 
 
 def evaluate(spark: SparkSession, corpora: dict[str, Units], timeout: float = QUERY_SECONDS) -> dict:

@@ -35,11 +35,11 @@ class Scan:
         return sorted(self.seconds.items(), key=lambda x: (-x[1], x[0]))[:most]
 
 
-def scan(facts: Facts, patterns: list[str] | None = None, *, timeout: float = QUERY_SECONDS, at_once: int = 4) -> Scan:
+def scan(facts: Facts, patterns: list[str] | None = None, *, timeout: float | None = QUERY_SECONDS, at_once: int = 4) -> Scan:
     """Run the named queries (all, in name order, by default), each as a job of its own.
 
     Results go to the checkpoint folder.  A query that fails or takes longer
-    than `timeout` seconds is cancelled, reported and has no matches.
+    than `timeout` seconds (None: no limit) is cancelled, reported and has no matches.
     """
     spark = facts.table.sparkSession
     names = sorted(DETECTORS) if patterns is None else patterns
@@ -53,9 +53,10 @@ def scan(facts: Facts, patterns: list[str] | None = None, *, timeout: float = QU
             late.set()
             spark.interruptTag(tag)
 
-        timer = threading.Timer(timeout, stop)
+        timer = threading.Timer(timeout or 0, stop)
         timer.daemon = True
-        timer.start()
+        if timeout is not None:
+            timer.start()
         spark.addTag(tag)
         try:
             tables[pattern] = checkpoint(matches(facts, pattern))
@@ -77,5 +78,13 @@ def scan(facts: Facts, patterns: list[str] | None = None, *, timeout: float = QU
     return Scan(reduce(DataFrame.unionByName, found) if found else _empty(spark), seconds, errors)
 
 
+def complete(facts: Facts) -> DataFrame:
+    """Matches of all queries without a time limit; raises if any query failed."""
+    found = scan(facts, timeout=None)
+    if found.errors:
+        raise RuntimeError("; ".join(f"{p}: {e}" for p, e in sorted(found.errors.items())))
+    return found.matches
+
+
 def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MATCH_SCHEMA)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab
-from .engine import scan
+from .engine import complete
 from .facts import Facts
 from .functions import names
 from .operators import evaluation, results, review
@@ -183,7 +183,7 @@ for _pattern in vocab.PATTERNS:
 
 @registered("detect_all", sql.all_matches())
 def _detect_all(spark, sf_dir):
-    return evaluation.detected_sets(scan(facts_for(spark, sf_dir), timeout=900).matches)
+    return evaluation.detected_sets(complete(facts_for(spark, sf_dir)))
 
 
 # Reported matches, on the queries whose SQL is short
@@ -353,7 +353,7 @@ registered("before_after", _EVAL + "select corpus, sum(tp_before)::bigint as tp_
         on f.unit = e.unit and f.pattern = e.expected) group by corpus""")
 def _motif_scores(spark, sf_dir):
     units = motifs.units_of(spark, sf_dir)
-    found = evaluation.detected_sets(scan(facts_for(spark, sf_dir), timeout=900).matches).join(units.select("corpus", "unit"), "unit")
+    found = evaluation.detected_sets(complete(facts_for(spark, sf_dir))).join(units.select("corpus", "unit"), "unit")
     expected = units.where("expected is not null").select("corpus", "unit", F.col("expected").alias("pattern"))
     counts = evaluation.confusion(expected, found, units.select("corpus"))
     return counts.groupBy("corpus").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])

@@ -23,13 +23,13 @@ def match_json(reported: DataFrame) -> DataFrame:
     return reported.select("unit", "pattern", "match_id", F.to_json(F.struct(*fields)).alias("match"))
 
 
-def scan_report(matches: DataFrame, files: int) -> dict:
+def scan_report(matches: DataFrame, files: int, errors: dict[str, str] | None = None) -> dict:
     """The report of one scan; a row of match_json for each match is brought to the driver, as the file is one."""
     by: dict[str, list] = {p: [] for p in PATTERNS}
     for r in matches.orderBy("pattern", "match_id").toLocalIterator():
         by[r.pattern].append(json.loads(r.match))
     patterns = [{k: v for k, v in {"pattern": p, "iri": pattern_iri(p), "matches": by[p]}.items() if v is not None} for p in PATTERNS]
-    return {"tool": TOOL, "version": VERSION, "generatedAt": datetime.now(UTC).isoformat(), "fileCount": files, "patterns": patterns}
+    return {"tool": TOOL, "version": VERSION, "generatedAt": datetime.now(UTC).isoformat(), "fileCount": files, "patterns": patterns, "errors": [f"{p}: {e}" for p, e in sorted((errors or {}).items())]}
 
 
 def console(report: dict) -> str:
@@ -39,6 +39,7 @@ def console(report: dict) -> str:
             verdict = m.get("verdict")
             tail = f" [{verdict['outcome']}: {verdict.get('rationale', '')}]" if verdict else ""
             lines.append(f"{p['pattern']}: " + ", ".join(f"{r['role']} = {r['label']}" for r in m["roles"]) + tail)
+    lines += [f"failed: {e}" for e in report.get("errors", [])]
     lines.append(f"{sum(len(p['matches']) for p in report['patterns'])} match(es) in {report['fileCount']} file(s).")
     return "\n".join(lines)
 

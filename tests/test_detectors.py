@@ -2,11 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import vocab
-from factloom.engine import scan
+from factloom.engine import complete, scan
 from factloom.facts import Facts
+from factloom.operators import results
 from factloom.operators.algebra import closure
 from factloom.operators.detectors import DETECTORS, matches
 from factloom.plans import motifs
+from factloom.sinks import reports
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +75,17 @@ def test_failing_query_costs_no_other(table, monkeypatch):
     assert {p for p, _ in done.slowest()} == {"Proxy", "Singleton"}
 
 
+def test_incomplete_scans_are_told(table, monkeypatch):
+    def broken(facts):
+        raise RuntimeError("broken")
+
+    monkeypatch.setitem(DETECTORS, "Proxy", broken)
+    with pytest.raises(RuntimeError, match="Proxy"):
+        complete(Facts(table))
+    report = reports.scan_report(reports.match_json(results.reported(matches(Facts(table), "Command"))), 1, {"Proxy": "stopped after 50 s"})
+    assert report["errors"] == ["Proxy: stopped after 50 s"] and "failed: Proxy: stopped after 50 s" in reports.console(report)
+
+
 def test_joins_keep_the_partitioning_by_unit(table, spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
