@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +36,29 @@ def materialise(df: DataFrame, label: str, **options) -> DataFrame:
     path = workspace(spark, label)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Words of 64 bits in the filter of only_wanted, as a power of two.
+_FILTER = 18
+
+
+def _perhaps(rows: DataFrame, wanted: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """rows with _found: whether the key is among the keys of `wanted`; true for a few others too.
+
+    A Bloom filter of one hash: what is broadcast is a table of 2**18 words at most, whatever the input.  With far more
+    wanted keys than its 2**24 bits it finds everything, and the exact join that follows does all the work.
+    """
+    place, bit = F.shiftrightunsigned(F.xxhash64(*key), 64 - _FILTER), F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 as int))")
+    words = wanted.select(place.alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    held = rows.withColumns({"_place": place, "_mine": bit}).join(F.broadcast(words), "_place", "left")
+    return held.withColumn("_found", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mine")) != 0, F.lit(False))).drop("_place", "_mine", "_bits")
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key is among the keys of `wanted`, and a few more, so that a join after it moves less."""
+    return _perhaps(rows, wanted, key).where("_found").drop("_found")
+
+
+def unwanted(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The rows that only_wanted leaves out: all surely without a key among those of `wanted`."""
+    return _perhaps(rows, wanted, key).where("not _found").drop("_found")
