@@ -28,11 +28,12 @@ each keeps its own row.
 
 from __future__ import annotations
 
-import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +46,14 @@ class Encoder:
 
     Between a character that is not white space and a following space the
     byte-level pre-tokenizer always cuts, and what it does with a piece depends
-    on nothing outside it.  So texts are cut there, each new piece is encoded by
-    the library once, and known pieces are looked up.  Texts with white space
-    other than single spaces and line feeds inside pieces, and tokenizers of
-    another kind, are encoded whole.
+    on nothing outside it.  So texts are cut there, Arrow finds the distinct
+    pieces, each new one is encoded by the library once, and all ids are gathered
+    from the memory at once.  Texts with white space other than single spaces and
+    line feeds inside pieces, and tokenizers of another kind, are encoded whole.
     """
 
     #: Characters that some library's rules count as white space.
-    ODD_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"
+    ODD_SPACE = (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
     def __init__(self, path: str, most_pieces: int = 500_000):
         import json
@@ -67,76 +68,148 @@ class Encoder:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.pieces = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.odd = re.compile(f"[{self.ODD_SPACE}]").search
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        special = "".join(f"|{re.escape(t['content'])}" for t in spec.get("added_tokens", []))
+        # what Arrow's expressions call \\n must not follow or precede a space, nor a space another
+        self.whole = "^ |  |\n |[" + "".join(f"\\x{{{c:x}}}" for c in self.ODD_SPACE) + "]" + special
         if self.pieces:
             # a byte-level token has one character for each of its bytes
             self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.width[i] = len(token)
         self.most = most_pieces
-        # two generations: a full one becomes the old one, and what is used again moves back
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _apart(self, pieces: list[str], group: int = 128) -> list[bytes]:
-        """Ids of pieces that begin with a space, each by itself: many go through the library as one text."""
+        self._empty()
+
+    def _forget(self):
+        """Keeps the pieces that more than one slice of texts had since the last time."""
+        often = np.flatnonzero(self.uses[: len(self.known)] > 1)
+        pieces, counts = list(self.known), self.counts[often]
+        flat = [self.held[a : a + n] for a, n in zip(self.starts[often].tolist(), counts.tolist())]
+        self._empty()
+        if len(often) <= self.most // 2:
+            self._add([pieces[i] for i in often.tolist()], np.concatenate((self.held[:0], *flat)), counts)
+
+    def _empty(self):
+        # of piece number i, ids are held[starts[i] : starts[i] + counts[i]]
+        self.known: dict[str, int] = {}
+        self.starts, self.counts, self.uses, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, pieces: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has, of pieces that begin with a space: many go through the library as one text."""
         groups = [pieces[i : i + group] for i in range(0, len(pieces), group)]
-        out = []
+        flat, counts = [], []
         for some, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
-            raw, begin = ids.tobytes(), 0
-            for n in ends.tolist():
-                out.append(raw[4 * begin : 4 * n])
-                begin = n
+            ids = np.array(e.ids, np.uint32)
+            sizes = np.fromiter(map(len, map(str.encode, some)), np.int64, len(some))
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1
+            flat.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _add(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray):
+        first, n = len(self.known), len(pieces)
+        self.known.update(zip(pieces, range(first, first + n)))
+        for name, size in (("starts", first + n), ("counts", first + n), ("uses", first + n), ("held", self.used + len(flat))):
+            old = getattr(self, name)
+            if size > len(old):
+                new = np.zeros(2 * size, old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.counts[first : first + n] = counts
+        self.starts[first : first + n] = self.used + np.cumsum(counts) - counts
+        self.held[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces, without the space before them, of which new ones are encoded."""
+        out = np.fromiter(map(self.known.get, pieces, _UNKNOWN), np.int64, len(pieces))
+        new = [pieces[i] for i in np.flatnonzero(out < 0).tolist()]
+        if new:
+            # only pieces that end in a visible character may stand before another one
+            simple = [p for p in new if p[-1:] not in ("", "\n")]
+            other = [p for p in new if p[-1:] in ("", "\n")]
+            if simple:
+                self._add(simple, *self._apart([" " + p for p in simple]))
+            if other:
+                ids = self._plain([" " + p for p in other])
+                self._add(other, np.concatenate(ids), np.array([len(x) for x in ids]))
+            out[out < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.uses[out] += 1
         return out
 
-    def _cut(self, text: str) -> list[str] | None:
-        """A text's pieces, or None where only the whole text will do."""
-        if not self.pieces or text.startswith(" ") or "  " in text or "\n " in text or any(x in text for x in self.special):
-            return None
-        return text.split(" ")
-
-    def _learn(self, wanted: set[str]) -> set[str]:
-        """Makes all wanted pieces known; returns those with odd white space, which no cut text may have."""
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that can be cut, and how many each has."""
         if len(self.known) > self.most:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = [p for p in wanted if p not in known]
-        again = [p for p in new if p in old]
-        known.update((p, old[p]) for p in again)
-        if again:
-            new = [p for p in new if p not in known]
-        odd = {p for p in new if self.odd(p)}
-        # only pieces that end in a visible character may stand before another one
-        simple = [p for p in new if p not in odd and p[-1:] not in ("", "\n")]
-        other = [p for p in new if p not in odd and p[-1:] in ("", "\n")]
-        known.update(zip(simple, self._apart([" " + p for p in simple])))
-        known.update(zip(other, self._plain([" " + p for p in other])))
-        return odd
+            self._forget()
+        words = pc.split_pattern(texts, " ")
+        ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        first = np.concatenate(([0], ends[:-1]))
+        flat = words.flatten()
+        seen = flat.dictionary_encode()
+        numbers = self._numbers(seen.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(seen.indices)]
+        # the first word of a text has no space before it: numbers and ids of its own, behind the known ones
+        heads = self._plain(flat.take(pa.array(first)).to_pylist())
+        n, sizes = len(self.known), np.array([len(h) for h in heads])
+        numbers[first] = n + np.arange(len(heads))
+        starts = np.concatenate((self.starts[:n], self.used + np.cumsum(sizes) - sizes))
+        counts = np.concatenate((self.counts[:n], sizes))[numbers]
+        held = np.concatenate((self.held[: self.used], *heads))
+        done = np.cumsum(counts)
+        where = starts[numbers]
+        where -= done
+        where += counts
+        place = np.repeat(where, counts)
+        place += np.arange(len(place))
+        return held[place], np.diff(done[ends - 1], prepend=0)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has; a null has none."""
+        counts = np.zeros(len(texts), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        filled = np.asarray(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0))
+        whole = filled & (np.asarray(pc.match_substring_regex(pc.fill_null(texts, ""), self.whole)) if self.pieces else True)
+        for mask, encode in ((filled & ~whole, self._cut), (whole, self._together)):
+            at = np.flatnonzero(mask)
+            if len(at):
+                ids, counts[at] = encode(texts.take(pa.array(at)))
+                parts.append((at, ids))
+        if len(parts) == 1:
+            return parts[0][1], counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        begin = np.cumsum(counts) - counts
+        for at, ids in parts:
+            n = counts[at]
+            out[np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._plain(texts.to_pylist())
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut = [self._cut(t) for t in texts]
-        wanted: set[str] = set()
-        for c in cut:
-            if c:
-                wanted.update(c[1:])
-        odd = self._learn(wanted)
-        cut = [None if c is None or self.odd(c[0]) or odd and not odd.isdisjoint(c) else c for c in cut]
-        rest = [i for i, c in enumerate(cut) if c is None]
-        for i, ids in zip(rest, self._plain([texts[i] for i in rest])):
-            out[i] = ids
-        known = self.known.__getitem__
-        whole = [i for i, c in enumerate(cut) if c is not None]
-        for i, head in zip(whole, self._plain([cut[i][0] for i in whole])):
-            out[i] = head + b"".join(map(known, cut[i][1:]))
-        return out
+        ids, counts = self.encode_all(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts).tolist()
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends], ends)]
+
+
+_UNKNOWN = repeat(-1)
+#: Bytes of text encoded at once; what it takes besides is about 15 times as much.
+SLICE_BYTES = 8 << 20
+
+
+def text_slices(texts: pa.Array, most_bytes: int = SLICE_BYTES):
+    """Ranges of consecutive texts of about `most_bytes`; a longer text is a range of its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield begin, end
+        begin = end
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -208,38 +281,38 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, block_
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").drop("tie")
-    end = struct.pack("<I", end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
-        from . import wordbytes as wb
-
         shard, chunk, first_token, ordinal = TaskContext.get().partitionId(), 0, 0, 0
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         room, parts = block_ids, []  # parts: (doc_id, ordinal, skipped, ids, total)
 
         def block():
             nonlocal chunk, first_token, room, parts
-            ids = np.frombuffer(b"".join(p[3] for p in parts), "<u4")
-            row = {"shard": shard, "chunk": chunk, "first_token": first_token, "n_ids": len(ids), "kind": kind, "planes": to_planes(ids, kind, level), "first_ordinal": parts[0][1], "skipped": parts[0][2], "doc_ids": [p[0] for p in parts], "lengths": [len(p[3]) // 4 for p in parts], "totals": [p[4] for p in parts]}
+            ids = np.concatenate([p[3] for p in parts])
+            row = {"shard": shard, "chunk": chunk, "first_token": first_token, "n_ids": len(ids), "kind": kind, "planes": to_planes(ids, kind, level), "first_ordinal": parts[0][1], "skipped": parts[0][2], "doc_ids": [p[0] for p in parts], "lengths": [len(p[3]) for p in parts], "totals": [p[4] for p in parts]}
             chunk, first_token, room, parts = chunk + 1, first_token + len(ids), block_ids, []
             return pa.RecordBatch.from_pylist([row], schema)
 
         kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
         schema = pa.schema([(n, kinds[t]) for n, t in (f.split(" ") for f in CHUNK_FIELDS.split(", "))])
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in wb.slices(texts):
-                for k, raw in enumerate(encode([t or "" for t in texts[a:b]])):
-                    raw += end
-                    total, at = len(raw) // 4, 0
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in text_slices(texts):
+                flat, counts = encode(texts.slice(a, b - a))
+                flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+                place = 0
+                for doc, total in zip(ids[a:b], (counts + 1).tolist()):
+                    at = 0
                     while at < total:
                         n = min(room, total - at)
-                        parts.append((ids[a + k], ordinal, at, raw[4 * at : 4 * (at + n)], total))
+                        parts.append((doc, ordinal, at, flat[place + at : place + at + n], total))
                         at, room = at + n, room - n
                         if not room:
                             yield block()
+                    place += total
                     ordinal += 1
         if parts:
             yield block()
