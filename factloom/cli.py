@@ -25,12 +25,13 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="factloom", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("scan", help="find collaborations in source files, projects, solutions, folders or repositories")
-    s.add_argument("inputs", nargs="+")
+    s.add_argument("inputs", nargs="*", help="none: the examples of the package")
     for name in ("report", "sarif", "findings", "turtle", "query"):
         s.add_argument(f"--{name}")
+    s.add_argument("--namespace", action="append", default=[], help="a namespace whose terms name the graph's nodes and predicates in --query")
     _review(s)
     e = sub.add_parser("evaluate", help="score scans against labels")
-    e.add_argument("corpus", nargs="?")
+    e.add_argument("corpus", nargs="?", help="a folder, a repository's address, a known name, or examples (the default)")
     for name in ("corpora", "ground-truth", "baseline", "report", "analyze"):
         e.add_argument(f"--{name}")
     e.add_argument("--query-timeout", type=_positive(float))
@@ -59,11 +60,23 @@ def parse(argv: list[str]) -> argparse.Namespace:
             p.error("--analyze reads a finished report, so it cannot be combined with a corpus or review")
         if a.corpora and (a.corpus or a.ground_truth):
             p.error("--corpora takes corpora and labels from the manifest")
-        if not (a.analyze or a.corpora or a.corpus):
-            p.error("name a corpus, --corpora or --analyze")
+        if a.ground_truth and not a.corpus:
+            p.error("--ground-truth labels a corpus, so name one")
     return a
 
 
+def _how(a):
+    """The review that the options ask for, or None."""
+    if not a.verify:
+        return None
+    from .operators.models import PROVIDERS
+    from .operators.review import PARALLEL, Review, create_model
+
+    if not a.verify_model:
+        raise ValueError(f"a review needs --verify-model; known prefixes: {', '.join(sorted(PROVIDERS))}")
+    return Review(create_model(a.verify_model, a.verify_max_tokens), a.verify_cache, a.keep_rejected, a.verify_parallelism or PARALLEL)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parse(sys.argv[1:] if argv is None else argv)
     from pyspark.sql import SparkSession
@@ -79,21 +92,24 @@ def main(argv: list[str] | None = None) -> int:
 def scan_command(spark, a) -> int:
     from . import api
     from .sinks import findings, reports, sarif, turtle
+    from .sources.corpora import EXAMPLES
     from .sources.files import Checkout, repository, resolve_all
     from .sparql import query
 
+    how = _how(a)
     clones = [Checkout(r) for i in a.inputs if (r := repository(i))]
     try:
-        files = resolve_all([i for i in a.inputs if not repository(i)] + [c.path for c in clones])
+        named = [i for i in a.inputs if not repository(i)] + [c.path for c in clones]
+        files = resolve_all(named or [EXAMPLES])
         if a.query:
             from .csharp.extract import extract, facts_of
             from .facts import Facts
             from .sources.files import read_files
 
             facts = Facts(facts_of(extract(read_files(spark, {"scan": files}))))
-            print(reports.query_text(query(facts, Path(a.query).read_text(encoding="utf-8"))))
+            print(reports.query_text(query(facts, Path(a.query).read_text(encoding="utf-8"), tuple(a.namespace))))
         else:
-            facts, rows, report = api.scan_files(spark, files)
+            facts, rows, report = api.scan_files(spark, files, how, named[0] if len(named) == 1 else "")
             print(reports.console(report))
             if a.report:
                 Path(a.report).write_text(json.dumps(report, indent=2), encoding="utf-8")
@@ -117,35 +133,41 @@ def evaluate_command(spark, a) -> int:
     from . import api
     from .engine import QUERY_SECONDS
     from .operators.evaluation import passes_gate
-    from .sinks.reports import table
+    from .sinks import reports
     from .sources import corpora
 
     if a.analyze:
         rows = api.analyse(spark, corpora.units_of_report(corpora.load_report(a.analyze)))
-        print(table(["metric", "before", "after", "delta", "lower", "upper"], [[r[k] for k in ("metric", "before", "after", "delta", "lower", "upper")] for r in rows], {3, 4, 5}))
+        print(reports.table(["metric", "before", "after", "delta", "lower", "upper"], [[r[k] for k in ("metric", "before", "after", "delta", "lower", "upper")] for r in rows], {3, 4, 5}))
         return 0
-    if a.corpora:
-        base = Path(a.corpora).parent
-        units, limits = {}, []
-        for c in corpora.manifest(a.corpora):
-            root = str(base / c.source) if not Path(c.source).is_absolute() else c.source
-            units[c.name] = corpora.from_ground_truth(c.ground_truth, root) if c.ground_truth else corpora.from_folders(root)
-            limits.append(c.query_timeout or QUERY_SECONDS)
-        limit = a.query_timeout or max(limits)
-    else:
-        found = corpora.from_ground_truth(a.ground_truth, a.corpus) if a.ground_truth else corpora.from_folders(a.corpus)
-        if not found.units:
-            found = corpora.from_examples(a.corpus)
-        units, limit = {Path(a.corpus).name: found}, a.query_timeout or QUERY_SECONDS
-    report = api.evaluate(spark, units, limit)
-    print(table(["pattern", "TP", "FP", "FN", "P", "R", "F1"], [[p["pattern"], p["truePositives"], p["falsePositives"], p["falseNegatives"], p.get("precision"), p.get("recall"), p.get("f1")] for p in report["perPattern"]]))
+    how, limit, opened = _how(a), a.query_timeout or QUERY_SECONDS, []
+
+    def units(source: str | None, truth: str | None, base: str = ".") -> tuple[str, corpora.Units]:
+        opened.append(found := corpora.resolve_corpus(source, base))
+        made = corpora.units_of(found.root, truth)
+        made.commit = found.commit
+        return found.name, made
+
+    try:
+        loaded = {}
+        if a.corpora:
+            for c in corpora.manifest(a.corpora):
+                loaded[c.name] = units(c.source, c.ground_truth, str(Path(a.corpora).parent))[1]
+                loaded[c.name].query_timeout = a.query_timeout or c.query_timeout
+        else:
+            name, made = units(a.corpus, a.ground_truth)
+            loaded[name] = made
+        report = api.evaluate(spark, loaded, limit, how)
+    finally:
+        for found in opened:
+            found.close()
+    base = corpora.load_report(a.baseline) if a.baseline else None
+    print(reports.evaluation_text(report, base))
     if a.report:
         Path(a.report).write_text(json.dumps(report, indent=2), encoding="utf-8")
-    if a.baseline:
-        base = corpora.load_report(a.baseline)
-        if not passes_gate(report["micro"].get("f1"), base["micro"].get("f1")):
-            print("micro F1 fell below the baseline", file=sys.stderr)
-            return 1
+    if base is not None and not passes_gate(report["micro"].get("f1"), base["micro"].get("f1")):
+        print("micro F1 fell below the baseline", file=sys.stderr)
+        return 1
     return 0
 
 

@@ -7,10 +7,12 @@ of arguments; what it can't resolve keeps its written simple name.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 
 from .declarations import PREDEFINED, Member, Reader, SourceFile, TypeDecl, TypeRef, read
+from .tokens import tokenize
 
 #: Namespaces every file sees.
 IMPLICIT = ("System", "System.Collections.Generic", "System.IO", "System.Linq", "System.Net.Http", "System.Threading", "System.Threading.Tasks")
@@ -62,11 +64,11 @@ class Scope:
 
 
 class Unit:
-    def __init__(self, sources: list[tuple[str, str]]):
-        """sources: (path, text) in file order."""
+    def __init__(self, files: list[tuple[str, SourceFile]]):
+        """files: (path, declarations) in file order; all are declared, bodies are read by run."""
         self.facts: dict[tuple[str, str, str], None] = {}
         self.places: dict[str, tuple[str, int, int]] = {}
-        self.files = [(path, read(text)) for path, text in sources]
+        self.files = files
         self.by_name: dict[str, list[TypeDecl]] = defaultdict(list)
         self.file_of: dict[int, SourceFile] = {}
         self.members: dict[str, list[tuple[str, Member, TypeDecl]]] = defaultdict(list)
@@ -77,14 +79,15 @@ class Unit:
                 self.by_name[self.full(t)].append(t)
                 self.file_of[id(t)] = f
         self.namespaces = {t.namespace for ts in self.by_name.values() for t in ts}
-        bodies = []
-        for path, f in self.files:
-            for t in f.types:
-                bodies += self.declare(path, f, t)
-        for scope, owner, node, member in bodies:
-            Body(self, scope, owner, node, member).run()
+        self.bodies = [b for path, f in self.files for t in f.types for b in self.declare(path, f, t)]
         self.implied_overrides()
 
+    def run(self) -> None:
+        """Facts of the bodies of all files whose tokens are at hand."""
+        for scope, owner, node, member in self.bodies:
+            if scope.file.tokens:
+                Body(self, scope, owner, node, member).run()
+
     def add(self, s: str, p: str, o: str) -> None:
         self.facts[(s, p, o)] = None
 
@@ -642,6 +645,30 @@ class Body:
 
 
 def build(sources: list[tuple[str, str]]) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, int, int]]]:
-    """Facts, and (fragment, file, start_line, end_line), of one unit's files in order."""
-    unit = Unit(sources)
+    """Facts, and (fragment, file, start_line, end_line), of one unit's (path, text) in file order."""
+    unit = Unit([(path, read(text)) for path, text in sources])
+    unit.run()
+    return list(unit.facts), [(n, *p) for n, p in unit.places.items()]
+
+
+def outline(text: str) -> bytes:
+    """The declarations of a file, without its code."""
+    found = read(text)
+    found.tokens = []
+    return pickle.dumps(found)
+
+
+def build_part(outlines: list[tuple[str, bytes]], own: dict[int, str], first: bool) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, int, int]]]:
+    """What one part of a unit adds to it: facts of the bodies of its own files (number among the outlines: text).
+
+    outlines: (path, outline) of all files of the unit, in file order; what they
+    declare is told by the first part alone.
+    """
+    files = [(path, pickle.loads(data)) for path, data in outlines]
+    for k, text in own.items():
+        files[k][1].tokens = tokenize(text)
+    unit = Unit(files)
+    if not first:
+        unit.facts, unit.places = {}, {}
+    unit.run()
     return list(unit.facts), [(n, *p) for n, p in unit.places.items()]

@@ -6,28 +6,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .binder import build
+from .binder import build, build_part, outline
 
 RESULT = "unit string, kind string, s string, p string, o string, file string, start_line int, end_line int"
+#: Characters of code that one task reads of a unit; larger units are spread.
+PART_CHARS = 4_000_000
 
 
-def extract(sources: DataFrame) -> DataFrame:
-    """Facts (kind = fact) and places (kind = place) of every unit, in one pass.
+def _result(unit: str, facts: list, places: list) -> pa.Table:
+    out = [(unit, "fact", s, p, o, None, None, None) for s, p, o in facts] + [(unit, "place", n, None, None, f, a, b) for n, f, a, b in places]
+    kinds = (pa.string(),) * 6 + (pa.int32(),) * 2
+    names = ["unit", "kind", "s", "p", "o", "file", "start_line", "end_line"]
+    return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
 
-    A unit's declarations must be known before any body, so a unit is read by
-    one task; units are many and independent.
+
+def _ordered(table: pa.Table, *columns: str) -> list[dict]:
+    return sorted(table.select(["file_order", "file", *columns]).to_pylist(), key=lambda r: (r["file_order"], r["file"]))
+
+
+def extract(sources: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Facts (kind = fact) and places (kind = place) of every unit.
+
+    A body can only be read when all declarations of its unit are known.  A unit
+    of up to `part_chars` characters is read by one task.  A larger one is
+    spread: its files are outlined one by one (declarations without code), and
+    parts of about `part_chars` characters are read side by side, each with the
+    outlines of the whole unit.  Null texts declare nothing; rows with a null
+    unit are left out.
     """
+    rows = sources.where("unit is not null").select("unit", "file", "file_order", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = rows.groupBy("unit").agg(F.ceil(F.sum(F.length("text")) / part_chars).cast("int").alias("parts"))
+    # a unit's number of parts is one row; units can be as many as files
+    sized = rows.join(sizes, "unit")
+
+    def whole(key, table):
+        return _result(key[0].as_py(), *build([(r["file"], r["text"]) for r in _ordered(table, "text")]))
+
+    small = sized.where("parts <= 1").drop("parts").groupBy("unit").applyInArrow(whole, RESULT)
+
+    def outlines(batches):
+        for batch in batches:
+            made = pa.array([outline(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("unit", "file", "file_order", "parts")), made], names=["unit", "file", "file_order", "parts", "outline"])
+
+    large = sized.where("parts > 1")
+    declared = large.mapInArrow(outlines, "unit string, file string, file_order int, parts int, outline binary")
+    declared = declared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("file", "file_order"), F.col("parts")).cast("int")).drop("parts")
 
-    def run(key, table):
-        rows = sorted(table.select(["file_order", "file", "text"]).to_pylist(), key=lambda r: (r["file_order"], r["file"]))
-        facts, places = build([(r["file"], r["text"] or "") for r in rows])
-        unit = key[0].as_py()
-        out = [(unit, "fact", s, p, o, None, None, None) for s, p, o in facts] + [(unit, "place", n, None, None, f, a, b) for n, f, a, b in places]
-        kinds = (pa.string(),) * 6 + (pa.int32(),) * 2
-        names = ["unit", "kind", "s", "p", "o", "file", "start_line", "end_line"]
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
+    def part(key, texts, declarations):
+        files = _ordered(declarations, "outline")
+        place = {(r["file_order"], r["file"]): k for k, r in enumerate(files)}
+        own = {place[r["file_order"], r["file"]]: r["text"] for r in texts.to_pylist()}
+        return _result(key[0].as_py(), *build_part([(r["file"], r["outline"]) for r in files], own, key[1].as_py() == 0))
 
-    return sources.where("unit is not null").groupBy("unit").applyInArrow(run, RESULT)
+    spread = dealt.groupBy("unit", "part").cogroup(declared.groupBy("unit", "part")).applyInArrow(part, RESULT)
+    return small.unionByName(spread)
 
 
 def facts_of(extracted: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ def scan(facts: Facts, patterns: list[str] | None = None, *, timeout: float | No
     than `timeout` seconds (None: no limit) is cancelled, reported and has no matches.
     """
     spark = facts.table.sparkSession
+    facts.settle()
     names = sorted(DETECTORS) if patterns is None else patterns
     seconds, errors, tables = {}, {}, {}
 
@@ -70,10 +71,6 @@ def scan(facts: Facts, patterns: list[str] | None = None, *, timeout: float | No
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(one, names))
-    # what failed beside others, for want of memory say, is tried once more alone
-    for pattern in [p for p in names if p in errors and not errors[p].startswith("stopped after")]:
-        del errors[pattern]
-        one(pattern)
     found = [tables[p] for p in names if p in tables]
     return Scan(reduce(DataFrame.unionByName, found) if found else _empty(spark), seconds, errors)
 

@@ -17,17 +17,30 @@ class Facts:
     """Views over facts (unit, s, p, o), a set.
 
     The table is partitioned by unit once and kept (memory, then disk); all
-    views, joins and distincts run within those partitions.
+    views, joins and distincts run within those partitions.  Where a unit has
+    more than MOST_FACTS facts, one task can't hold it: then the table is
+    partitioned by unit and subject, and each join is dealt by all its keys.
     """
 
-    def __init__(self, table: DataFrame, partitions: int | None = None, keep: bool = True):
-        spark = table.sparkSession
-        by_unit(spark)
+    #: Facts of a unit that one task may hold.
+    MOST_FACTS = 2_000_000
+
+    def __init__(self, table: DataFrame, partitions: int | None = None, keep: bool = True, spread: bool | None = None):
+        spark = self._session = table.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = table.select("unit", "s", "p", "o").where("unit is not null and s is not null and p is not null and o is not null")
-        table = table.repartition(n, "unit").dropDuplicates(["unit", "s", "p", "o"])
         self._keep = keep
-        self.table = self._kept(table)
+        if spread is None:
+            largest = table.groupBy("unit").count().agg(F.max("count")).first()[0]
+            spread = (largest or 0) > self.MOST_FACTS
+        self.spread = spread
+        self.settle()
+        table = table.repartition(n, "unit", "s") if spread else table.repartition(n, "unit")
+        self.table = self._kept(table.dropDuplicates(["unit", "s", "p", "o"]))
+
+    def settle(self) -> None:
+        """Sets the session to join these facts: within units, or dealt by all keys."""
+        by_unit(self._session, not self.spread)
 
     def rel(self, predicate: str | tuple[str, ...], a: str, b: str) -> DataFrame:
         """Bindings of a and b over one predicate, or over any of several (an alternative path)."""

@@ -2,56 +2,30 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable
-from typing import Protocol
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import Model, ScriptedModel, create_model
+from .rubrics import RUBRICS
+
+__all__ = ["Model", "ScriptedModel", "create_model"]
+
 #: Most lines of one excerpt, lines looked ahead for a closing brace, and adjudications in flight.
 MOST_LINES, LOOK_AHEAD, PARALLEL = 400, 2000, 8
 
 OUTCOMES = ("confirmed", "uncertain", "rejected")
 
-#: Separates the parts of a cache key, so that no two lists of parts run together alike.
-SEPARATOR = "\x1f"
-
-
-class Model(Protocol):
-    """A language model: one prompt in, its reply and token counts out."""
-
-    name: str
-
-    def complete(self, system: str, prompt: str) -> tuple[str, int, int]: ...
-
-
-#: Makers of models by prefix of a model's name; outside services are registered by their users.
-PROVIDERS: dict[str, Callable[[str], Model]] = {}
-
-
-def create_model(name: str) -> Model:
-    for prefix, make in PROVIDERS.items():
-        if name.startswith(prefix):
-            return make(name)
-    raise ValueError(f"no provider for model {name!r}; known prefixes: {', '.join(sorted(PROVIDERS)) or 'none'}")
-
-
-class ScriptedModel:
-    """A model for tests: replies by rule, counts 100 tokens in and 20 out."""
-
-    def __init__(self, reply: Callable[[str], str] | str, name: str = "scripted"):
-        self.name, self._reply = name, reply
-
-    def complete(self, system: str, prompt: str) -> tuple[str, int, int]:
-        return (self._reply(prompt) if callable(self._reply) else self._reply), 100, 20
-
 
 def cache_key(model: Column, system: Column, pattern: Column, fragments: Column, source: Column) -> Column:
-    """Lower-case hex SHA-256 of a candidate's content; the order of its fragments doesn't matter."""
-    return F.sha2(F.concat_ws(SEPARATOR, model, system, pattern, F.array_join(F.array_sort(fragments), ","), source), 256)
+    """Lower-case hex SHA-256 of a candidate's content; the order of its fragments doesn't matter.
+
+    Fixed by the cache's format: the parts follow each other without a separator.
+    """
+    return F.sha2(F.concat(model, system, pattern, F.array_join(F.array_sort(fragments), ","), source), 256)
 
 
 def excerpts(lines: DataFrame, spans: DataFrame) -> DataFrame:
@@ -61,10 +35,14 @@ def excerpts(lines: DataFrame, spans: DataFrame) -> DataFrame:
     span of one line is widened to the line that closes the braces it opens,
     at most LOOK_AHEAD lines on, and stays as it is if none does; braces in
     strings and comments count too.  An excerpt has MOST_LINES lines at most.
-    Each file is joined to its spans by file name, and each span reads its own lines.
+    Lines are joined in blocks of LOOK_AHEAD, so a span meets the lines of its
+    own block and the next, not those of its whole file.
     """
     wanted = spans.select("file", "start_line", "end_line").distinct()
-    near = wanted.join(lines, "file").where((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.greatest(F.col("end_line"), F.col("start_line") + LOOK_AHEAD)))
+    last = F.greatest(F.col("end_line"), F.col("start_line") + LOOK_AHEAD)
+    block = lambda c: F.floor(c / LOOK_AHEAD)
+    wanted = wanted.withColumn("block", F.explode(F.sequence(block(F.col("start_line")), block(last))))
+    near = wanted.join(lines.withColumn("block", block(F.col("line"))), ["file", "block"]).where((F.col("line") >= F.col("start_line")) & (F.col("line") <= last))
     opens, closes = F.length("text") - F.length(F.replace("text", F.lit("{"), F.lit(""))), F.length("text") - F.length(F.replace("text", F.lit("}"), F.lit("")))
     sofar = Window.partitionBy("file", "start_line", "end_line").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumns({"opened": F.sum(opens).over(sofar), "depth": F.sum(opens - closes).over(sofar)})
@@ -98,6 +76,25 @@ def system_prompt(pattern: str, rubric: str | None) -> str:
     return f"Decide whether the candidate is an instance of {pattern}: {what} Reply with a JSON object: verdict (confirmed, rejected or uncertain) and rationale."
 
 
+def prompts(reported: DataFrame) -> DataFrame:
+    """Adds system and, from description and source, prompt; the table of patterns is a constant."""
+    spark = reported.sparkSession
+    systems = spark.createDataFrame([(p, system_prompt(p, r)) for p, r in RUBRICS.items()], "pattern string, system string")
+    return reported.join(F.broadcast(systems), "pattern", "left").withColumn("prompt", F.concat(F.col("description"), F.lit("\n\nSOURCE\n"), F.coalesce("source", F.lit(""))))
+
+
+def candidates(reported: DataFrame, sources: DataFrame, root: str = "") -> DataFrame:
+    """Reported matches with fragments, description, source, system and prompt.
+
+    sources: (file, text), the scanned files; a file of several units is read once.
+    """
+    files = sources.select("file", "text").dropDuplicates(["file"])
+    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("file", (F.col("k") + 1).alias("line"), "text")
+    spans = reported.select(F.explode("roles").alias("r")).where("r.file is not null").select("r.file", "r.start_line", "r.end_line")
+    described_ = described(reported, root).withColumn("fragments", F.transform("roles", lambda r: r["fragment"]))
+    return prompts(sources_of(described_, excerpts(lines, spans)))
+
+
 def parsed(reply: Column) -> Column:
     """struct<outcome, rationale> of a reply: the outermost braces as JSON; uncertain where that says nothing known."""
     found = F.from_json(F.regexp_extract(reply, "(?s)\\{.*\\}", 0), "verdict string, rationale string", {"mode": "PERMISSIVE"})
@@ -130,7 +127,7 @@ def adjudicate(candidates: DataFrame, model: Model, parallel: int = PARALLEL) ->
     return got.select("key", "v.outcome", "v.rationale", F.lit(name).alias("model"), "tokens_in", "tokens_out", "error")
 
 
-def review(candidates: DataFrame, cache: DataFrame, model: Model, keep_rejected: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def review(candidates: DataFrame, cache: DataFrame, model: Model, keep_rejected: bool = False, parallel: int = PARALLEL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept matches, tally, new cache entries) of candidates (unit, pattern, match_id, fragments, system, prompt, source).
 
     What the cache (key, outcome, rationale, model) knows costs no question.
@@ -142,17 +139,51 @@ def review(candidates: DataFrame, cache: DataFrame, model: Model, keep_rejected:
     keyed = candidates.withColumn("key", F.when(F.col("source").isNotNull(), key))
     known = cache.select("key", "outcome", "rationale", "model").dropDuplicates(["key"])
     missing = keyed.where("key is not null").join(known, "key", "left_anti")
-    asked = checkpoint(adjudicate(missing, model))
+    asked = checkpoint(adjudicate(missing, model, parallel))
     answers = known.withColumns({"hit": F.lit(True), "tokens_in": F.lit(0).cast("long"), "tokens_out": F.lit(0).cast("long"), "error": F.lit(None).cast("string")}).unionByName(asked.withColumn("hit", F.lit(False)))
-    # of candidates with one key, the first carries the tokens
+    # of candidates with one key, the first carries the tokens; those without source have no key and no window
     first = F.row_number().over(Window.partitionBy("key").orderBy("unit", "pattern", "match_id")) == 1
-    judged = keyed.withColumn("_first", first).join(answers, "key", "left")
     tokens = lambda c: F.when(F.col("_first"), F.col(c)).otherwise(F.lit(0))
-    judged = judged.withColumns({"tokens_in": tokens("tokens_in"), "tokens_out": tokens("tokens_out"), "dropped": F.lit(not keep_rejected) & F.coalesce(F.col("outcome") == "rejected", F.lit(False))}).drop("_first")
+    judged = keyed.where("key is not null").withColumn("_first", first).join(answers, "key", "left")
+    judged = judged.withColumns({"tokens_in": tokens("tokens_in"), "tokens_out": tokens("tokens_out")}).drop("_first")
+    judged = judged.unionByName(keyed.where("key is null"), allowMissingColumns=True)
+    judged = judged.withColumn("dropped", F.lit(not keep_rejected) & F.coalesce(F.col("outcome") == "rejected", F.lit(False)))
     fresh = asked.where("error is null").select("key", "outcome", "rationale", "model")
     return judged.where("not dropped"), tally(judged), fresh
 
 
+@dataclass
+class Review:
+    """How to review a scan: with which model, what is known already, and what becomes of rejected matches."""
+
+    model: Model
+    cache_path: str | None = None
+    keep_rejected: bool = False
+    parallel: int = PARALLEL
+
+
+def reviewed(reported: DataFrame, sources: DataFrame, how: Review, root: str = "") -> tuple[DataFrame, dict]:
+    """Kept matches with verdict (null where there is none), and the tally.
+
+    New verdicts go to the cache file; as many as questions were asked come to the driver.
+    """
+    from ..shared import checkpoint
+    from ..sources.corpora import load_cache, save_cache
+
+    spark = reported.sparkSession
+    entries = load_cache(how.cache_path) if how.cache_path else {}
+    rows = [(k, v["outcome"], v.get("rationale") or "", v.get("model") or how.model.name) for k, v in entries.items()]
+    cache = spark.createDataFrame(rows, "key string, outcome string, rationale string, model string")
+    kept, counts, fresh = review(checkpoint(candidates(reported, sources, root)), cache, how.model, how.keep_rejected, how.parallel)
+    verdict = F.when(F.col("outcome").isNotNull(), F.struct("outcome", "rationale", "model"))
+    kept = checkpoint(kept.select(*reported.columns, verdict.alias("verdict")))
+    summary = counts.first().asDict()
+    if how.cache_path:
+        entries |= {r.key: {"outcome": r.outcome, "rationale": r.rationale, "model": r.model} for r in fresh.toLocalIterator()}
+        save_cache(how.cache_path, entries)
+    return kept, {"model": how.model.name} | summary
+
+
 def tally(judged: DataFrame) -> DataFrame:
     """Counters of a review, one row."""
     is_ = lambda o: F.count_if(F.col("outcome") == o).alias(o)
@@ -163,7 +194,3 @@ def tally(judged: DataFrame) -> DataFrame:
         F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
         F.first("error", ignorenulls=True).alias("failure"),
     )
-
-
-def cache_json(entries: dict[str, dict]) -> str:
-    return json.dumps(dict(sorted(entries.items())), indent=2)

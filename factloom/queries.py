@@ -15,7 +15,6 @@ from .operators import evaluation, results, review
 from .operators.algebra import closure, having, join, minus, optional, pair, union, without
 from .operators.detectors import DETECTORS, matches
 from .plans import motifs, sql
-from .shared import by_unit
 from .sparql import query as sparql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +28,7 @@ def facts_for(spark: SparkSession, sf_dir: str) -> Facts:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FACTS:
         _FACTS[key] = Facts(motifs.facts_of(spark, sf_dir))
-    by_unit(spark)
+    _FACTS[key].settle()
     return _FACTS[key]
 
 
@@ -90,11 +89,11 @@ over_facts("select_distinct", "select distinct unit, r from ret")(lambda f: f.re
 over_facts("ask", "select unit, bool_or(p = 'extends' and o = 'Obs') as answer from facts group by unit")(
     lambda f: sparql(f, "PREFIX src: <urn:factloom:source#> ASK { ?c src:extends <urn:factloom:scan#Obs> }").table
 )
-over_facts("construct", "select distinct meth.unit, t as s, 'gives' as p, r as o from meth join ret on ret.unit = meth.unit and ret.m = meth.m")(
-    lambda f: sparql(f, "PREFIX s: <urn:x#> CONSTRUCT { ?t s:gives ?r } WHERE { ?t s:hasMethod ?m . ?m s:returnsType ?r }").table
+over_facts("construct", "select distinct meth.unit, t as s, 'urn:other#gives' as p, r as o from meth join ret on ret.unit = meth.unit and ret.m = meth.m")(
+    lambda f: sparql(f, "PREFIX s: <urn:factloom:source#> CONSTRUCT { ?t <urn:other#gives> ?r } WHERE { ?t s:hasMethod ?m . ?m s:returnsType ?r }").table
 )
 over_facts("describe", "select unit, s, p, o from facts where s in (select c from ext where b = 'Obs') and exists (select 1 from ext where ext.unit = facts.unit and c = s and b = 'Obs')")(
-    lambda f: sparql(f, "DESCRIBE ?c WHERE { ?c <urn:x#extends> <urn:x#Obs> }").table
+    lambda f: sparql(f, "DESCRIBE ?c WHERE { ?c <urn:factloom:source#extends> <urn:factloom:scan#Obs> }").table
 )
 over_facts("optional", "select meth.unit, t, meth.m, x from meth left join md on md.unit = meth.unit and md.n = meth.m")(lambda f: optional(f.meth("t", "m"), f.rel("hasModifier", "m", "x")))
 over_facts("minus", "select unit, t, m from meth a where not exists (select 1 from inst i where i.unit = a.unit and i.m = a.m)")(lambda f: minus(f.meth("t", "m"), f.inst("m", "x")))
@@ -131,7 +130,7 @@ _SPARQL = {
         "select unit, t, m from (select unit, t, m from fld union all select unit, t, m from prop where t <> 'Reg') where length(m) > 1",
     ),
     "sparql_path_star": (
-        "SELECT DISTINCT ?b WHERE { <urn:x#Low> s:extends* ?b }",
+        "SELECT DISTINCT ?b WHERE { <urn:factloom:scan#Low> s:extends* ?b }",
         "select distinct unit, 'Low' as b from facts where s = 'Low' or o = 'Low' union select unit, b from reach where c = 'Low'",
     ),
     "sparql_inverse_alt": (
@@ -143,7 +142,7 @@ _SPARQL = {
         "select distinct unit, r from ret a where not exists (select 1 from holds h where h.unit = a.unit and h.r = a.r and not exists (select 1 from ext e where e.unit = h.unit and e.c = h.t and e.b = h.r))",
     ),
     "sparql_exists_or": (
-        "SELECT ?m ?t WHERE { ?m s:instantiates ?t FILTER(?t = <urn:x#Cp> || EXISTS { ?t s:extends ?b }) }",
+        "SELECT ?m ?t WHERE { ?m s:instantiates ?t FILTER(?t = <urn:factloom:scan#Cp> || EXISTS { ?t s:extends ?b }) }",
         "select unit, m, r as t from inst i where r = 'Cp' or exists (select 1 from ext e where e.unit = i.unit and e.c = i.r)",
     ),
     "sparql_optional_bound": (
@@ -170,6 +169,25 @@ _SPARQL = {
         "SELECT ?t ?c WHERE { { SELECT DISTINCT ?t WHERE { ?t s:hasMethod ?m . ?m s:hasModifier s:Abstract } } ?c s:extends ?t }",
         "select a.unit, a.t, e.c from (select distinct md.unit, t from md join meth on md.unit = meth.unit and md.n = meth.m where x = 'Abstract') a join ext e on e.unit = a.unit and e.b = a.t",
     ),
+    "sparql_other_namespace": ("SELECT ?c WHERE { ?c <urn:anything#extends> ?b }", "select unit, c from ext where false"),
+    "sparql_path_optional": ("SELECT DISTINCT ?b WHERE { <urn:factloom:scan#Low> s:extends? ?b }", "select distinct unit, 'Low' as b from facts where s = 'Low' or o = 'Low' union select unit, b from ext where c = 'Low'"),
+    "sparql_path_negated": ("SELECT ?s ?o WHERE { ?s !(s:type|s:hasModifier|s:returnsType) ?o }", "select unit, s, o from facts where p not in ('type', 'hasModifier', 'returnsType')"),
+    "sparql_path_negated_one": ("SELECT ?s ?o WHERE { ?s !s:hasMethod ?o }", "select unit, s, o from facts where p <> 'hasMethod'"),
+    "sparql_text_functions": (
+        "SELECT ?t ?a ?b ?c ?d ?e WHERE { ?t s:hasMethod ?m BIND(LCASE(STR(?t)) AS ?a) BIND(SUBSTR(STR(?t), 2) AS ?b) BIND(SUBSTR(STR(?t), 1, 2) AS ?c) BIND(STRBEFORE(STR(?t), 'b') AS ?d) BIND(STRAFTER(STR(?t), 'b') AS ?e) }",
+        "select unit, t, lower(t) as a, substr(t, 2) as b, substr(t, 1, 2) as c, case when instr(t, 'b') > 0 then substr(t, 1, instr(t, 'b') - 1) else '' end as d, case when instr(t, 'b') > 0 then substr(t, instr(t, 'b') + 1) else '' end as e from meth",
+    ),
+    "sparql_regex_replace": ("SELECT ?t ?r WHERE { ?t s:hasMethod ?m FILTER(REGEX(STR(?t), '^[a-o]', 'i')) BIND(REPLACE(STR(?t), '[aeiou]', '*') AS ?r) }", "select unit, t, regexp_replace(t, '[aeiou]', '*', 'g') as r from meth where regexp_matches(lower(t), '^[a-o]')"),
+    "sparql_text_tests": ("SELECT ?t ?m WHERE { ?t s:hasMethod ?m FILTER(STRSTARTS(STR(?t), 'C') || STRENDS(STR(?t), 's') || CONTAINS(STR(?m), 'a')) }", "select unit, t, m from meth where starts_with(t, 'C') or ends_with(t, 's') or contains(m, 'a')"),
+    "sparql_if_coalesce": (
+        "SELECT ?t ?m ?k ?c WHERE { ?t s:hasMethod ?m OPTIONAL { ?m s:hasModifier ?x } BIND(COALESCE(STR(?x), 'none') AS ?c) BIND(IF(BOUND(?x), 'some', 'none') AS ?k) }",
+        "select meth.unit, t, meth.m, case when x is null then 'none' else 'some' end as k, coalesce(x, 'none') as c from meth left join md on md.unit = meth.unit and md.n = meth.m",
+    ),
+    "sparql_numbers": (
+        "SELECT ?t ?a ?c ?f ?r WHERE { ?t s:hasField ?m BIND(ABS(1 - STRLEN(STR(?t))) AS ?a) BIND(CEIL(STRLEN(STR(?t)) / 2) AS ?c) BIND(FLOOR(STRLEN(STR(?t)) / 2) AS ?f) BIND(ROUND(STRLEN(STR(?t)) / 4) AS ?r) }",
+        "select unit, t, abs(1 - length(t))::double as a, ceil(length(t) / 2)::bigint as c, floor(length(t) / 2)::bigint as f, round(length(t) / 4)::double as r from fld",
+    ),
+    "sparql_term_tests": ("SELECT ?c ?b WHERE { ?c s:extends ?b FILTER(ISIRI(?c) && ISURI(?b) && !ISLITERAL(?c) && !ISBLANK(?b) && !SAMETERM(?c, ?b)) }", "select unit, c, b from ext where c <> b"),
 }
 for _name, (_text, _sql) in _SPARQL.items():
     over_facts(_name, _sql)(lambda f, text=_text: sparql(f, "PREFIX s: <urn:factloom:source#> " + text).table)
@@ -244,7 +262,14 @@ def _sarif(spark, sf_dir):
     return sarif.results(results.reported(matches(f, "Proxy"), _locations(f)))
 
 
-@registered("turtle_dump")
+_TERMS_SQL = ", ".join(f"'{x}'" for x in (*vocab.TYPE_KINDS, *vocab.MEMBER_KINDS, *vocab.MODIFIERS))
+
+
+@registered(
+    "turtle_dump",
+    sql.over_motifs(f"""select unit, s, '<{vocab.SCAN}' || s || '> ' || string_agg(line, ' ;' || chr(10) || '    ' order by line) || ' .' as turtle from (
+        select distinct unit, s, case when p = 'type' then 'a ' else 'src:' || p || ' ' end || case when p in ('type', 'hasModifier') and o in ({_TERMS_SQL}) then 'src:' || o else '<{vocab.SCAN}' || o || '>' end as line from facts) group by unit, s"""),
+)
 def _turtle(spark, sf_dir):
     from .sinks import turtle
 
@@ -382,14 +407,11 @@ registered("dotted_names", f"select p_partkey, 'Some.' || spelled || '.Conceptua
 
 # Review
 
-_SEP = review.SEPARATOR
-
-
 def _key(prefix: Column) -> Column:
     return review.cache_key(F.lit("model"), F.lit("system"), prefix, F.split("text", " "), F.col("text"))
 
 
-_KEY_SQL = f"sha256('model' || chr(31) || 'system' || chr(31) || coalesce(source, '') || chr(31) || array_to_string(list_sort(string_split(text, ' ')), ',') || chr(31) || text)"
+_KEY_SQL = "sha256('model' || 'system' || source || array_to_string(list_sort(string_split(text, ' ')), ',') || text)"
 registered("cache_key_sha256", f"select doc_id, {_KEY_SQL} as key from documents where text is not null and source is not null")(
     lambda s, d: read(s, d, "documents").where("text is not null and source is not null").select("doc_id", _key(F.col("source")).alias("key"))
 )
@@ -433,3 +455,6 @@ def _excerpts(spark, sf_dir):
     lines = docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("k", "text")).select("file", (F.col("k") + 1).alias("line"), "text")
     n = (F.col("doc_id") % 5 + 1).cast("int")
     return review.excerpts(lines, docs.select(F.col("doc_id").cast("string").alias("file"), n.alias("start_line"), n.alias("end_line")))
+
+
+from . import queries_sources  # noqa: E402, F401

@@ -40,6 +40,8 @@ def console(report: dict) -> str:
             tail = f" [{verdict['outcome']}: {verdict.get('rationale', '')}]" if verdict else ""
             lines.append(f"{p['pattern']}: " + ", ".join(f"{r['role']} = {r['label']}" for r in m["roles"]) + tail)
     lines += [f"failed: {e}" for e in report.get("errors", [])]
+    if report.get("review"):
+        lines.append(review_line(report["review"]))
     lines.append(f"{sum(len(p['matches']) for p in report['patterns'])} match(es) in {report['fileCount']} file(s).")
     return "\n".join(lines)
 
@@ -59,6 +61,37 @@ def table(headers: list[str], rows: list[list], signed: set[int] = frozenset())
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in [headers, *text])
 
 
+#: Seconds from which a scan, and a query in it, are told as slow.
+SLOW_SCAN, SLOW_QUERY = 10.0, 1.0
+
+
+def review_line(tally: dict) -> str:
+    told = ", ".join(f"{tally[k]} {k.replace('_', ' ')}" for k in ("reviewed", "confirmed", "uncertain", "rejected", "dropped", "unreviewed", "cache_hits"))
+    tail = f"; first failure: {tally['failure']}" if tally.get("failure") else ""
+    return f"Review by {tally.get('model') or tally.get('models')}: {told}, {tally['tokens_in']} tokens in, {tally['tokens_out']} out{tail}."
+
+
+def evaluation_text(report: dict, baseline: dict | None = None) -> str:
+    """What an evaluation prints: figures by pattern, with the change of F1 against a baseline, and what was slow."""
+    before = {p["pattern"]: p.get("f1") for p in (baseline or {}).get("perPattern", [])}
+    headers, rows = ["pattern", "TP", "FP", "FN", "P", "R", "F1"], []
+    entries = [*report["perPattern"], {"pattern": "micro", **report["micro"]}, {"pattern": "macro", **report["macro"]}]
+    before |= {k: (baseline or {}).get(k, {}).get("f1") for k in ("micro", "macro")}
+    for p in entries:
+        row = [p["pattern"], p.get("truePositives"), p.get("falsePositives"), p.get("falseNegatives"), p.get("precision"), p.get("recall"), p.get("f1")]
+        if baseline is not None:
+            was = before.get(p["pattern"])
+            row.append(None if was is None or p.get("f1") is None else float(p["f1"] - was))
+        rows.append(row)
+    lines = [table(headers + (["change"] if baseline is not None else []), rows, {7})]
+    lines += [f"{c['corpus']} at commit {c['commit']}" for c in [report, *report.get("corpora", [])] if c.get("commit")]
+    if report["detectionSeconds"] >= SLOW_SCAN:
+        lines += [f"slow: {x['pattern']} {x['seconds']:.1f} s" for x in report.get("slowest", []) if x["seconds"] >= SLOW_QUERY]
+    if report.get("review"):
+        lines.append(review_line(report["review"]))
+    return "\n".join([*lines, *(f"failed: {e}" for e in report.get("errors", []))])
+
+
 def query_text(result: Result) -> str:
     """A query's result: `v = x` lines and a count, true or false, or Turtle."""
     if result.form == "ask":

@@ -13,14 +13,15 @@ PREFIXES = {"src": SRC, "scan": SCAN, "rdf": RDF, "det": DET, "fdp": FDP}
 _TERMS = (*TYPE_KINDS, *MEMBER_KINDS, *MODIFIERS)
 
 
-def _iri(x: Column) -> Column:
-    return F.concat(F.lit(f"<{SCAN}"), x, F.lit(">"))
+def _iri(x: Column, space: str = SCAN) -> Column:
+    """A node's name in its namespace; what is an IRI already stays one."""
+    return F.when(F.regexp(x, F.lit("^[a-z][a-z0-9+.-]*:")), F.concat(F.lit("<"), x, F.lit(">"))).otherwise(F.concat(F.lit(f"<{space}"), x, F.lit(">")))
 
 
 def subjects(facts: DataFrame) -> DataFrame:
     """(unit, s, turtle): one statement block for each subject, its objects in order."""
     term = F.col("p").isin("type", "hasModifier") & F.col("o").isin(*_TERMS)
-    verb = F.when(F.col("p") == "type", F.lit("a")).otherwise(F.concat(F.lit("src:"), F.col("p")))
+    verb = F.when(F.col("p") == "type", F.lit("a")).when(F.contains("p", F.lit(":")), _iri(F.col("p"))).otherwise(F.concat(F.lit("src:"), F.col("p")))
     thing = F.when(term, F.concat(F.lit("src:"), F.col("o"))).otherwise(_iri(F.col("o")))
     rows = facts.select("unit", "s", F.concat(verb, F.lit(" "), thing).alias("line")).groupBy("unit", "s").agg(F.array_join(F.array_sort(F.collect_set("line")), " ;\n    ").alias("lines"))
     return rows.select("unit", "s", F.concat(_iri(F.col("s")), F.lit(" "), "lines", F.lit(" .")).alias("turtle"))

@@ -5,11 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.names import pattern_of
 from ..vocab import PATTERNS
-from .files import BUILD_OUTPUT, resolve
+from .files import BUILD_OUTPUT, Checkout, Repository, repository, resolve
 
 _BY_LETTERS = {re.sub(r"[^a-z]", "", p.lower()): p for p in PATTERNS}
 
@@ -34,6 +39,8 @@ class Unit:
 class Units:
     units: list[Unit] = field(default_factory=list)
     skipped: int = 0
+    commit: str | None = None
+    query_timeout: float | None = None
 
 
 def from_examples(folder: str) -> Units:
@@ -89,6 +96,49 @@ def from_ground_truth(path: str, root: str) -> Units:
     return out
 
 
+#: The example files that come with the package, one for each pattern.
+EXAMPLES = str(Path(__file__).parent.parent / "examples")
+#: Fixed value: names of public corpora, and where they are.
+KNOWN = {"refactoring-guru": "https://github.com/RefactoringGuru/design-patterns-csharp"}
+
+
+@dataclass
+class Resolved:
+    """Where a corpus lies: its name, its folder, the commit of a clone, and the clone to close."""
+
+    name: str
+    root: str
+    commit: str | None = None
+    checkout: Checkout | None = None
+
+    def close(self) -> None:
+        if self.checkout is not None:
+            self.checkout.close()
+
+
+def resolve_corpus(source: str | None, base: str = ".", clone: Callable[[Repository], Checkout] = Checkout) -> Resolved:
+    """A corpus by `examples` (or nothing), a known name, a repository's address, or a folder (found from base)."""
+    if source is None or source.lower() == "examples":
+        return Resolved("examples", EXAMPLES)
+    address = KNOWN.get(source.lower(), source)
+    named = repository(address)
+    if named is not None:
+        made = clone(named)
+        return Resolved(named.slug, made.path, made.commit(), made)
+    folder = Path(base, source)
+    if not folder.is_dir():
+        raise FileNotFoundError(f"{source!r} is no folder, repository address or known corpus name")
+    return Resolved(source, str(folder.resolve()))
+
+
+def units_of(root: str, ground_truth: str | None = None) -> Units:
+    """The units of a corpus: those of its labels, else of folders named after patterns, else of such files."""
+    if ground_truth:
+        return from_ground_truth(ground_truth, root)
+    found = from_folders(root)
+    return found if found.units else from_examples(root)
+
+
 @dataclass
 class Corpus:
     name: str
@@ -141,3 +191,40 @@ def save_cache(path: str, entries: dict[str, dict]) -> bool:
         return True
     except OSError:
         return False
+
+
+# The same files as columns, for tables that have one in each row
+
+
+def strict_json(text: Column) -> Column:
+    """JSON without comments and trailing commas outside strings."""
+    string = r'("(?:[^"\\]|\\.)*")'
+    bare = F.regexp_replace(text, F.lit(string + r"|//[^\n]*|/\*(?s:.*?)\*/"), F.lit("$1"))
+    return F.regexp_replace(bare, F.lit(string + r"|,(?=\s*[\]}])"), F.lit("$1"))
+
+
+def labels(files: DataFrame) -> DataFrame:
+    """(corpus, unit, pattern) of label files (corpus, text); pattern is null for a unit that labels nothing.
+
+    An unknown pattern or a missing list is an error.
+    """
+    parsed = F.from_json(strict_json(F.col("text")), "units array<struct<path:string,patterns:array<string>>>")
+    units = files.select("corpus", F.explode(parsed["units"]).alias("u"))
+    units = units.select("corpus", F.col("u.path").alias("unit"), F.coalesce("u.patterns", F.raise_error(F.concat(F.lit("no list of patterns: "), F.coalesce("u.path", F.lit("?")))).cast("array<string>")).alias("spelled"))
+    named = units.select("corpus", "unit", F.explode_outer("spelled").alias("name"))
+    known = F.coalesce(pattern_of(F.col("name")), F.raise_error(F.concat(F.lit("no known pattern: "), F.col("name"))).cast("string"))
+    return named.select("corpus", "unit", F.when(F.col("name").isNotNull(), known).alias("pattern"))
+
+
+def report_units(files: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and (unit, labeled, structural, detected) of reports (text), or of all their corpora."""
+    units = "array<struct<unit:string,labeled:array<string>,structural:array<string>,detected:array<string>>>"
+    read = F.from_json("text", f"units {units}, corpora array<struct<units:{units}>>")
+    every = F.coalesce(F.flatten(F.transform(read["corpora"], lambda c: F.coalesce(c["units"], F.array().cast(units)))), read["units"])
+    return files.select(*keep, F.explode(every).alias("u")).select(*keep, "u.*")
+
+
+def cache_entries(files: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and (key, outcome, rationale, model) of cache files (text); what is damaged or has no outcome is left out."""
+    entries = F.from_json("text", "map<string,struct<outcome:string,rationale:string,model:string>>", {"mode": "PERMISSIVE"})
+    return files.select(*keep, F.explode(entries).alias("key", "v")).where("v.outcome is not null").select(*keep, "key", "v.*")

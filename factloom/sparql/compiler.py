@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..facts import Facts
 from ..operators.algebra import closure
-from .parser import Query, SparqlError, parse
+from .parser import NAMESPACES, Query, SparqlError, parse
 
 
 @dataclass
@@ -30,9 +30,12 @@ class Result:
     table: DataFrame
 
 
-def query(facts: Facts, text: str) -> Result:
-    """Compile a query over facts; nothing runs until the table is read."""
-    return Compiler(facts).run(parse(text))
+def query(facts: Facts, text: str, namespaces: tuple[str, ...] = ()) -> Result:
+    """Compile a query over facts; nothing runs until the table is read.
+
+    namespaces: further ones whose terms name nodes and predicates, for queries written for another vocabulary.
+    """
+    return Compiler(facts).run(parse(text, (*NAMESPACES, *namespaces)))
 
 
 def _agree(a: Column, b: Column, loose: bool) -> Column:

@@ -160,7 +160,8 @@ def test_models_by_prefix():
 
 def test_command_line_rules():
     assert cli.parse(["scan", "x", "--keep-rejected"]).verify and not cli.parse(["scan", "x"]).verify
-    for bad in (["scan"], ["scan", "x", "--query", "q", "--report", "r"], ["scan", "x", "--verify-max-tokens", "0"], ["evaluate", "--analyze", "a", "c"], ["evaluate", "--corpora", "m", "c"], ["evaluate"]):
+    assert cli.parse(["scan"]).inputs == [] and cli.parse(["evaluate"]).corpus is None
+    for bad in (["scan", "x", "--query", "q", "--report", "r"], ["scan", "x", "--verify-max-tokens", "0"], ["evaluate", "--analyze", "a", "c"], ["evaluate", "--corpora", "m", "c"], ["evaluate", "--ground-truth", "g"]):
         with pytest.raises(SystemExit):
             cli.parse(bad)
 

@@ -5,7 +5,7 @@ from factloom.sparql import SparqlError, parse, query
 from factloom.sinks.reports import query_text
 
 TRIPLES = [("A", "extends", "B"), ("B", "extends", "C"), ("A", "hasMethod", "m"), ("m", "returnsType", "C"), ("A", "hasField", "f"), ("f", "returnsType", "int"), ("B", "hasMethod", "n")]
-P = "PREFIX s: <urn:x#> "
+P = "PREFIX s: <urn:factloom:source#> "
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,8 @@ def test_other_forms(facts):
     assert {r.unit: r.answer for r in query(facts, P + "ASK { ?x s:extends s:Z }").table.collect()} == {"u": False, "v": True}
     made = query(facts, P + "CONSTRUCT { ?y s:below ?x } WHERE { ?x s:extends ?y }").table.where("unit = 'u'").collect()
     assert {(r.s, r.p, r.o) for r in made} == {("B", "below", "A"), ("C", "below", "B")}
+    other = query(facts, P + "CONSTRUCT { ?y <urn:x#below> ?x } WHERE { ?x s:extends ?y }").table.where("unit = 'u'")
+    assert {r.p for r in other.collect()} == {"urn:x#below"} and "<urn:x#below> <" in query_text(query(facts, P + "CONSTRUCT { ?y <urn:x#below> ?x } WHERE { ?x s:extends ?y }"))
     assert query(facts, P + "DESCRIBE s:B").table.where("unit = 'u'").count() == 2
 
 
@@ -66,4 +68,12 @@ def test_rendering(facts):
 @pytest.mark.parametrize("text", ["", "SELECT WHERE { ?x ?y ?z }", "SELECT ?x { ?x s:p ", "INSERT DATA { s:a s:b s:c }", "SELECT ?x { GRAPH s:g { ?x s:p ?y } }", "ASK { ?x s:p ?y } nonsense"])
 def test_errors(text):
     with pytest.raises(SparqlError):
-        parse("PREFIX s: <urn:x#> " + text)
+        parse(P + text)
+
+
+def test_only_declared_namespaces_name_terms(facts):
+    text = "PREFIX o: <urn:anything#> SELECT ?x { ?x o:extends ?y }"
+    assert query(facts, text).table.count() == 0
+    assert query(facts, text, ("urn:anything#",)).table.where("unit = 'u'").count() == 2
+    with pytest.raises(SparqlError):
+        parse("SELECT ?x { ?x none:extends ?y }")
