@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
 from .csharp.extract import extract, facts_of, locations_of
+from .engine import complete
+from .facts import Facts
 from .functions import paths
 from .operators import evaluation, review
 from .operators.rubrics import RUBRICS
 from .queries import read, registered
 from .sinks import reports
-from .sources import corpora
+from .sources import corpora, files
 
 # Paths, projects and addresses
 
@@ -182,8 +186,8 @@ _PLACES = (("~.Tool", "a", 3, 3), ("~.Tool_Name_2", "a", 6, 6), ("~.IRun", "b",
 def _sources(spark, sf_dir, unit: Column) -> DataFrame:
     """Two files for each part, whose unit is a column of p_partkey."""
     key = F.col("p_partkey").cast("string")
-    files = F.array(*[F.struct(F.concat(F.lit(f"{n}"), key, F.lit(".cs")).alias("file"), F.lit(i).alias("file_order"), F.replace(F.lit(t), F.lit("%k"), key).alias("text")) for i, (n, t) in enumerate((("a", _FILE_A), ("b", _FILE_B)))])
-    return read(spark, sf_dir, "part").select(unit.cast("string").alias("unit"), F.explode(files).alias("f")).select("unit", "f.*")
+    made = F.array(*[F.struct(F.concat(F.lit(f"{n}"), key, F.lit(".cs")).alias("file"), F.lit(i).alias("file_order"), F.replace(F.lit(t), F.lit("%k"), key).alias("text")) for i, (n, t) in enumerate((("a", _FILE_A), ("b", _FILE_B)))])
+    return read(spark, sf_dir, "part").select(unit.cast("string").alias("unit"), F.explode(made).alias("f")).select("unit", "f.*")
 
 
 def _expected_sql(unit: str) -> str:
@@ -200,6 +204,17 @@ registered(
     "select 'all' as unit, replace(n, '~', 'Yard' || p_partkey) as fragment, f || p_partkey || '.cs' as file, a as start_line, b as end_line from part, (values " + ", ".join(f"('{n}', '{f}', {a}, {b})" for n, f, a, b in _PLACES) + ") v(n, f, a, b)",
 )(lambda s, d: locations_of(extract(_sources(s, d, F.lit("all")), part_chars=200_000)).where(F.regexp_replace("fragment", r"^Yard\d+", "~").isin(*[p[0] for p in _PLACES])))
 
+
+
+def _examples(spark, sf_dir) -> DataFrame:
+    """What is found in the example files of the package, each a unit: read, extracted and asked all queries, end to end."""
+    listed = {Path(f).stem: [f] for f in files.resolve(corpora.EXAMPLES)}
+    return complete(Facts(facts_of(extract(files.read_files(spark, listed))))).select("unit", "pattern").distinct()
+
+
+_STEMS = ", ".join("('" + "".join(w[0].upper() + w[1:] for w in p.split(" ")) + f"', '{p}')" for p in vocab.PATTERNS)
+registered("examples_detect", f"select * from (values {_STEMS}) v(unit, pattern)")(_examples)
+
 # Parts of the review
 
 
@@ -216,7 +231,7 @@ _DESCRIBED = "'CANDIDATE Proxy' || chr(10) || '- subject: SUBJECT' || s_suppkey
 registered("review_description", f"select s_suppkey::varchar as unit, {_DESCRIBED} as description from supplier")(lambda s, d: review.described(_described(s, d), "/root.d").select("unit", "description"))
 
 
-def _files(spark, sf_dir) -> DataFrame:
+def _read_files(spark, sf_dir) -> DataFrame:
     """Five files of three lines, of which two are read."""
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit("line "), i.cast("string"), F.lit(" of "), F.col("id").cast("string"))), "\n")
     return spark.range(5).where("id % 2 = 0").select(F.concat(F.lit("/root.d/f"), F.col("id").cast("string")).alias("file"), text.alias("text"))
@@ -226,7 +241,7 @@ def _files(spark, sf_dir) -> DataFrame:
 _SOURCE = "case when s_suppkey % 5 % 2 = 0 then 'line ' || (s_suppkey % 3 + 1) || ' of ' || s_suppkey % 5 end"
 _SYSTEM = review.system_prompt("Proxy", RUBRICS["Proxy"]).replace("'", "''")
 registered("review_candidates", f"select s_suppkey::varchar as unit, {_SOURCE} as source, '{_SYSTEM}' as system, {_DESCRIBED} || chr(10) || chr(10) || 'SOURCE' || chr(10) || coalesce({_SOURCE}, '') as prompt from supplier")(
-    lambda s, d: review.candidates(_described(s, d), _files(s, d), "/root.d").select("unit", "source", "system", "prompt")
+    lambda s, d: review.candidates(_described(s, d), _read_files(s, d), "/root.d").select("unit", "source", "system", "prompt")
 )
 _RUBRIC_ROWS = ", ".join("('" + p + "', '" + review.system_prompt(p, RUBRICS[p]).replace("'", "''") + "')" for p in vocab.PATTERNS)
 registered("review_prompts", f"select p_partkey, pattern, system from (select p_partkey, ({_sql_list(vocab.PATTERNS)})[(p_partkey % {len(vocab.PATTERNS)} + 1)::int] as pattern from part) join (values {_RUBRIC_ROWS}) r(pattern, system) using (pattern)")(
