@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .shared import materialise
+from .shared import in_arrow, materialise
 
 U64 = np.uint64
 KIND = "alnum"
@@ -52,7 +52,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], names=["words", "n", "item_id"])
 
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "words binary, n int, item_id string")
+    rows = in_arrow(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")), run, "words binary, n int, item_id string")
     return rows.groupBy("words", "n").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
@@ -82,7 +82,7 @@ def shingle_counts(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int
             seen = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(keys[seen].view(np.int64)), pa.array(total[k][seen])], names=["shingle", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "shingle long, n long")
+    rows = in_arrow(docs.select(F.col("text").cast("string").alias("text")).where("text is not null"), run, "shingle long, n long")
     # at most one row for each shingle of one block of windows comes back
     return {r.shingle & 0xFFFFFFFFFFFFFFFF: r.n for r in rows.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
 
@@ -141,7 +141,7 @@ def _scan(docs: DataFrame, index: dict) -> DataFrame:
                 columns = {f.name: part.column(f.name) for f in part.schema} | {"_n": pa.array(words.count.astype(np.int64)), "_hit": pa.array(bits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, size: int = 5, block_windows: int = 200_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

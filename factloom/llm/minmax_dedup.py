@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import wordbytes as wb
 from .components import components
-from .shared import materialise, only_wanted
+from .shared import in_arrow, materialise, only_wanted
 
 U64 = np.uint64
 
@@ -108,7 +108,7 @@ def features(docs: DataFrame, size: int, bands: int, perms: int) -> DataFrame:
                     names=["doc_id", "tie", "n_shingles", "fp1", "fp2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tie long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text")), run, "doc_id long, tie long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
 def confirmed(sets: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
@@ -204,7 +204,7 @@ def hub_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, per
         if out:
             yield _linked(out)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
 def open_links(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, percent: int, group_words: int, group_docs: int) -> DataFrame:
@@ -248,7 +248,7 @@ def open_links(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int,
             labels.append(part)
         yield from flush(ids, sets, labels)
 
-    return texts.mapInArrow(run, "a long, b long")
+    return in_arrow(texts, run, "a long, b long")
 
 
 def near_components(docs: DataFrame, reps: DataFrame, size: int, percent: int, group_words: int, group_docs: int) -> DataFrame:

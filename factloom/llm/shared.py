@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where set, a temporary one else (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-    return str(context.getCheckpointDir()).rstrip("/")
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Only a local master may go without: driver and executors are one process, and a temporary folder will do (tests).
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return str(base).rstrip("/")
+
+
+#: Bytes of a batch between Spark and Python where the session has Spark's default, so that long texts don't add up.
+BATCH_BYTES = "8m"
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of bounded bytes."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "64m", "64MB"):
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def workspace(spark: SparkSession, label: str) -> str:

@@ -37,6 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
+
 
 CHUNK_FIELDS = "shard int, chunk int, first_token long, n_ids int, kind string, planes array<binary>, first_ordinal long, skipped long, doc_ids array<long>, lengths array<int>, totals array<long>"
 
@@ -55,7 +57,7 @@ class Encoder:
     #: Characters that some library's rules count as white space.
     ODD_SPACE = (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-    def __init__(self, path: str, most_pieces: int = 500_000):
+    def __init__(self, path: str, most_pieces: int = 300_000):
         import json
         import os
         import re
@@ -69,7 +71,7 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.pieces = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         special = "".join(f"|{re.escape(t['content'])}" for t in spec.get("added_tokens", []))
-        # what Arrow's expressions call \\n must not follow or precede a space, nor a space another
+        # texts that must be encoded whole: a space first, beside another or behind a line feed, odd white space, special tokens
         self.whole = "^ |  |\n |[" + "".join(f"\\x{{{c:x}}}" for c in self.ODD_SPACE) + "]" + special
         if self.pieces:
             # a byte-level token has one character for each of its bytes
@@ -198,7 +200,7 @@ class Encoder:
 
 _UNKNOWN = repeat(-1)
 #: Bytes of text encoded at once; what it takes besides is about 15 times as much.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(texts: pa.Array, most_bytes: int = SLICE_BYTES):
@@ -317,7 +319,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, block_
         if parts:
             yield block()
 
-    rows.mapInArrow(run, CHUNK_FIELDS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    in_arrow(rows, run, CHUNK_FIELDS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
     chunks.drop("planes").write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
@@ -345,7 +347,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "ordinal", "doc_id", "place", "n", "crc"])
 
     columns = ["shard", "first_token", "n_ids", "kind", "planes", "first_ordinal", "skipped", "doc_ids", "lengths", "totals"]
-    pieces = spark.read.parquet(f"{path}/chunks").select(*columns).mapInArrow(run, "shard int, ordinal long, doc_id long, place long, n long, crc long")
+    pieces = in_arrow(spark.read.parquet(f"{path}/chunks").select(*columns), run, "shard int, ordinal long, doc_id long, place long, n long, crc long")
     # the end part of a document's bytes contributes its CRC, earlier parts theirs moved to the left: the xor is the CRC of all
     whole = pieces.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("place").alias("place"), F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     shards = spark.read.parquet(f"{path}/shards").select("shard", F.col("start").alias("shard_start"))
@@ -361,4 +363,4 @@ def tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = from_planes(row["planes"], row["n_ids"], row["kind"])
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([row["chunk"]], pa.int32()), pa.array([row["first_token"]], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["shard", "chunk", "first_token", "ids"])
 
-    return spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "first_token", "n_ids", "kind", "planes").mapInArrow(run, "shard int, chunk int, first_token long, ids array<long>")
+    return in_arrow(spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "first_token", "n_ids", "kind", "planes"), run, "shard int, chunk int, first_token long, ids array<long>")
