@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
+from .shared import in_arrow, materialise
 
 U64 = np.uint64
 _BASE = wb.constants(2, 0x0DD5) | U64(1)
@@ -49,11 +50,11 @@ def _cuts(words: wb.Words, unit: str) -> np.ndarray:
 
 
 def text_units(texts: list[str | None], unit: str, min_words: int):
-    """(text number, unit number, first character, end, two digests) of the units of min_words words or more."""
+    """(text number, unit number, first character, end, words, two digests) of the units of min_words words or more."""
     words = wb.split(texts, "space")
     n = len(words.hashes)
     if not n:
-        return tuple(np.empty(0, t) for t in (np.int64,) * 4 + (np.int64,) * 2)
+        return tuple(np.empty(0, np.int64) for _ in range(7))
     owner = np.repeat(np.arange(len(texts)), words.count)
     begins, ends_, numbers = [], [], []
     finer = np.zeros(0, np.int64)
@@ -81,40 +82,51 @@ def text_units(texts: list[str | None], unit: str, min_words: int):
     lengths = np.cumsum([0] + [len(t) + 1 if t else 1 for t in texts])
     a, b = chars[words.starts[begin]] - lengths[text], chars[words.ends[end - 1]] - lengths[text]
     enough = end - begin >= min_words
-    return tuple(x[enough] for x in (text, number, a, b, digests[0], digests[1]))
+    return tuple(x[enough] for x in (text, number, a, b, end - begin, digests[0], digests[1]))
 
 
 def units(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
-    """One row for each unit: doc_id, unit, begin, end (characters of the text), h1, h2."""
+    """One row for each unit: doc_id, unit, begin, end (characters of the text), words, h1, h2."""
 
     def run(batches):
         for batch in batches:
             ids, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
             for a, b in wb.slices(texts):
-                text, number, begin, end, h1, h2 = text_units(texts[a:b], unit, min_words)
+                text, number, begin, end, count, h1, h2 = text_units(texts[a:b], unit, min_words)
                 for k in range(0, len(text), 20_000):
                     cut = slice(k, k + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text[cut]], pa.int64()), *[pa.array(x[cut].astype(np.int32)) for x in (number, begin, end)], pa.array(h1[cut]), pa.array(h2[cut])], names=["doc_id", "unit", "begin", "end", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text[cut]], pa.int64()), *[pa.array(x[cut].astype(np.int32)) for x in (number, begin, end, count)], pa.array(h1[cut]), pa.array(h2[cut])], names=["doc_id", "unit", "begin", "end", "words", "h1", "h2"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, unit int, begin int, end int, h1 long, h2 long")
+    return in_arrow(rows, run, "doc_id long, unit int, begin int, end int, words int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, *, unit: str = "all", min_words: int = 5) -> DataFrame:
-    """The units to remove: doc_id, unit, begin, end (characters of the original text), first_doc_id, first_begin."""
+    """The units to remove: doc_id, unit, begin, end (characters of the original text), words, first_doc_id, first_begin."""
     # a place as one number, ordered by document, then character: fits a hash aggregate, as a struct would not
-    made = units(docs, unit, min_words).withColumn("at", F.expr("cast(doc_id as decimal(20, 0)) * 2147483648 + begin"))
+    made = materialise(units(docs, unit, min_words), "units").withColumn("at", F.expr("cast(doc_id as decimal(20, 0)) * 2147483648 + begin"))
     firsts = made.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     found = made.join(firsts, ["h1", "h2"]).where("at <> first")
     first_begin = F.expr("cast(pmod(first, 2147483648) as int)")
-    return found.select("doc_id", "unit", "begin", "end", F.expr("cast((first - pmod(first, 2147483648)) div 2147483648 as bigint)").alias("first_doc_id"), first_begin.alias("first_begin"))
+    return found.select("doc_id", "unit", "begin", "end", "words", F.expr("cast((first - pmod(first, 2147483648)) div 2147483648 as bigint)").alias("first_doc_id"), first_begin.alias("first_begin"))
 
 
-def removed_spans(docs: DataFrame, **options) -> DataFrame:
-    """One row for each doc_id that loses units: doc_id, spans array<struct<begin,end>> in order."""
+def removed_spans(docs: DataFrame, *, unit: str = "all", min_words: int = 5, alone_words: int = 0, run_words: int = 0) -> DataFrame:
+    """One row for each doc_id that loses units: doc_id, spans array<struct<begin,end>> in order.
+
+    With alone_words, a repeated unit of fewer words goes only as part of a run: repeated units that follow each other
+    without a word between them, of run_words words or more together.  So what many documents say in one short line
+    stays, and a passage of short sentences goes.
+    """
     # units lie apart or one in the other
-    before = Window.partitionBy("doc_id").orderBy("begin", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = repeats(docs, **options).withColumn("reach", F.max("end").over(before)).where("reach is null or reach <= begin")
+    order = Window.partitionBy("doc_id").orderBy("begin", F.desc("end"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    outer = repeats(docs, unit=unit, min_words=min_words).withColumn("reach", F.max("end").over(before)).where("reach is null or reach <= begin")
+    if alone_words:
+        # two characters hold no word and the space on both its sides
+        outer = outer.withColumn("run", F.sum(F.when(F.col("begin") - F.col("reach") <= 2, 0).otherwise(1)).over(order))
+        together = F.sum("words").over(Window.partitionBy("doc_id", "run"))
+        outer = outer.withColumn("together", together).where((F.col("words") >= alone_words) | (F.col("together") >= run_words))
     return outer.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
