@@ -143,7 +143,8 @@ def slow_units(durations: DataFrame, unit_seconds: float = 10.0, detector_second
     """(unit, pattern, seconds): of units that took unit_seconds in all, the longest detectors of detector_seconds or more."""
     from .results import slowest
 
-    slow = durations.groupBy("unit").agg(F.sum("seconds").alias("total")).where(F.col("total") >= unit_seconds).select("unit")
+    # rounded, so that the order of a sum doesn't decide
+    slow = durations.groupBy("unit").agg(F.round(F.sum("seconds"), 6).alias("total")).where(F.col("total") >= unit_seconds).select("unit")
     return slowest(durations.join(slow, "unit", "left_semi"), ["unit"], "pattern", "seconds", most, detector_seconds)
 
 
