@@ -4,24 +4,27 @@ Lines are compared as sequences of lower-cased words.  Two are near if their
 word edit distance is at most a tenth of the longer one's words (and 1 where
 that is less), or if they differ in white space alone (`data base`, `database`).
 
-1. Equal lines are grouped by hash, with map-side minima, to their earliest
-   place (doc_id, line number); so are lines that are equal without spaces.
+1. Texts are cut once.  Equal lines are grouped by hash, with map-side minima,
+   to their earliest place (doc_id, line number); so are lines that are equal
+   without spaces.  From here on only the first of equal lines is compared.
 2. Lines of up to _LONG words have a bound of 1.  If two of them are near, their
-   first halves or their second halves are equal.  Each distinct line gives the
-   keys of its halves, for its own length and for one word less; lines that
-   share no key with another line are near none and go no further.  The others
-   emit their deletion variants: the line without each of its words, as a hash.
-   A changed word gives both lines the same variant at the same place; an added
-   word gives the longer line a variant equal to the shorter.  Variants are
-   grouped, not paired: all lines that share a variant at a place differ in
-   that word alone, so each is joined to the earliest of its group.
-3. Lines of _LONG words and more have a bound k that grows.  Near ones share all
-   but k words of the longer, so with words in one order for the whole corpus,
-   the first k + 1 of both have a word in common (prefix filter).  The order is
-   by count in a sample of documents, rare words first; any order is lossless, a
-   good one keeps groups small.  A parity sketch, which k edits change in 2 k
-   bits at most, is compared before words are.  Each line is compared with the
-   earliest that has its word; only lines that still stay meet all the others.
+   first halves or their second halves are equal.  Each line gives the keys of
+   its halves, for its own length and for one word less; lines that share no key
+   with another line are near none and go no further.  The others emit their
+   deletion variants: the line without each of its words, as a hash.  A changed
+   word gives both lines the same variant at the same place; an added word gives
+   the longer line a variant equal to the shorter.  Variants are grouped, not
+   paired: all lines that share a variant at a place differ in that word alone,
+   so each is joined to the earliest of its group.
+3. Lines of _LONG words and more have a bound k that grows, and n over k deletion
+   variants are too many (a line of 40 words has 91,390).  An edit touches two
+   word pairs at most, so near lines share all but 2 k of the pairs of either:
+   with pairs in one order for the whole corpus, the first 2 k + 1 of both have
+   one in common (prefix filter).  The order puts pairs that are frequent in a
+   sample of lines last; any order is lossless, a good one keeps groups small.
+   Each line is compared with the earliest that has its pair; only lines that
+   still stay meet all the others, behind a parity sketch of their words (k
+   edits change 2 k of its bits at most).
 4. Joined lines are compared word by word; of two near lines the later goes.
 
 So a line is removed if an equal line, or a near line, stands earlier in the
@@ -30,144 +33,118 @@ white space only: a tenth of their words is none, and with one word nearly all
 would be near.
 
 Defined results: null and empty texts have no lines; blank lines are never
-removed; rows with a null doc_id are left alone; rows of one doc_id count as
-one document.
+removed; rows with a null doc_id are left alone and have no lines counted; rows
+of one doc_id count as one document.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, only_wanted, unwanted
 
 
 #: A place in the corpus as one number, ordered by document, then line: fits a hash aggregate, as a struct would not.
 _AT = "cast(doc_id as decimal(20, 0)) * 4294967296 + line"
-_WORDS = r"array_remove(split(lower({}), r'[ \t\r\f\x0B]+'), '')"
 
 #: Half keys of a line of n words, for the lengths n and n - 1 of the shorter of two near lines: its first
 #: s div 2 words and its last s - s div 2 words.  For one of the ends both lengths give the same words.
 _HALVES = """
 array_distinct(array(
-  xxhash64(0, slice(words, 1, n div 2)),
-  xxhash64(0, slice(words, 1, (n - 1) div 2)),
-  xxhash64(1, slice(words, n div 2 + 1, n - n div 2)),
-  xxhash64(1, slice(words, n - (n - 1 - (n - 1) div 2) + 1, n - 1 - (n - 1) div 2))
+  xxhash64(0, substring_index(t, ' ', n div 2)),
+  xxhash64(0, substring_index(t, ' ', (n - 1) div 2)),
+  xxhash64(1, substring_index(t, ' ', -(n - n div 2))),
+  xxhash64(1, substring_index(t, ' ', -(n - 1 - (n - 1) div 2)))
 ))
 """
 
-
 #: Lines of more words are long. Two near lines are both at most, or both at least, as long: a line of 19 words has a bound of 1.
 _LONG = 18
-#: Words are ordered by the count of their hash's bucket in one of _SAMPLE documents.
-_BUCKETS, _SAMPLE = 1 << 16, 16
+#: Shingles are frequent if the bucket of their hash is among the _FREQUENT largest, of _BUCKETS, in one of _SAMPLE documents.
+_BUCKETS, _FREQUENT, _SAMPLE = 1 << 16, 2048, 16
 _BOUND = "greatest(1, {} div 10)"
-
-
-def _order(docs: DataFrame) -> bytes:
-    """For each bucket of word hashes, the size of its count in a sample (0 to 127): _BUCKETS numbers, whatever the corpus."""
-    some = docs.where(f"doc_id is not null and text is not null and pmod(xxhash64(doc_id, 5), {_SAMPLE}) = 0").select(F.explode(F.expr(r"split(lower(text), r'[ \t\r\f\x0B\n]+')")).alias("w"))
-    counts = some.groupBy(F.expr(f"pmod(xxhash64(w), {_BUCKETS})").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = bytearray(_BUCKETS)
-    for k, n in counts.collect():
-        sizes[k] = min(127, int(4 * math.log2(n + 1)))
-    return bytes(sizes)
-
-
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row for each line that has words: doc_id, line (from 0), a and b (128 bits of hash), c and d (128 bits of the line without
-    spaces), n, halves (null for short and long lines); of long lines keys (its first words in the corpus's order), s1 and s2 (parity sketch)."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select("doc_id", "line", F.expr(_WORDS.format("raw")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    hashes = F.when(F.col("n") >= max(_LONG, min_words), F.transform("words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("hashes", hashes).withColumn("solid", F.array_join("words", ""))
-    # bucket's size in the highest byte, then hash
-    size = lambda h: F.ascii(F.substring(F.lit(_order(docs)), F.pmod(h, F.lit(_BUCKETS)).cast("int") + 1, 1).cast("string"))
-    placed = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(size(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
-    keys = F.array_distinct(F.slice(placed, F.lit(1), F.expr(_BOUND.format("n") + " + 1")))
-    parity = lambda half: F.expr(f"aggregate(hashes, 0L, (s, h) -> if((h & 64) = {64 * half}, s ^ shiftleft(1L, cast(h & 63 as int)), s))")
-    halves = F.when(F.col("n").between(min_words, _LONG), F.expr(_HALVES))
-    return rows.select("doc_id", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.xxhash64("solid").alias("c"), F.xxhash64(F.lit(7), "solid").alias("d"), "n", halves.alias("halves"), keys.alias("keys"), parity(0).alias("s1"), parity(1).alias("s2"))
-
-
-def _known(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of lines (a, b, at) of which at is a place: a, b, at, words, n."""
-    spots = wanted.select(F.expr("cast((at - pmod(at, 4294967296)) div 4294967296 as bigint)").alias("d"), F.struct(F.expr("cast(pmod(at, 4294967296) as int)").alias("line"), "a", "b", "at").alias("spot"))
-    # of a document, as many as it has lines
-    spots = spots.groupBy("d").agg(F.collect_list("spot").alias("spots"))
-    found = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(spots, "d").select(F.split("text", "\n").alias("all"), F.explode("spots").alias("spot"))
-    rows = found.select("spot.a", "spot.b", "spot.at", F.expr(_WORDS.format("get(all, spot.line)")).alias("words"))
-    # another row of the same doc_id may have another line there
-    rows = rows.where((F.xxhash64("words") == F.col("a")) & (F.xxhash64(F.lit(7), "words") == F.col("b")))
-    return rows.dropDuplicates(["a", "b"]).withColumn("n", F.size("words"))
-
-
-def _long_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, at of the later lines of the pairs (at, a, b, other, a2, b2; other earlier) that are near."""
-    ends = pairs.select("at", "a", "b").unionByName(pairs.select(F.col("other").alias("at"), F.col("a2").alias("a"), F.col("b2").alias("b"))).distinct()
-    # each word as one character, by each of two hashes: equal hashes can only make lines nearer, so the greater distance counts
-    text = lambda seed: F.expr(f"decode(unhex(array_join(transform(words, w -> lpad(hex(65536 + pmod(xxhash64({seed}, w), 1048576)), 8, '0')), '')), 'UTF-32')")
-    known = materialise(_known(docs, ends).select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u")), "words")
-    one = known.select("at", "a", "b", "n", "t", "u")
-    two = known.select(F.col("at").alias("other"), F.col("n").alias("n2"), F.col("t").alias("t2"), F.col("u").alias("u2"))
-    bound = _BOUND.format("greatest(n, n2)")
-    both = pairs.select("at", "other").join(one, "at").join(two, "other")
-    # beyond the bound levenshtein is -1
-    return both.where(f"levenshtein(t, t2, {bound}) >= 0 and levenshtein(u, u2, {bound}) >= 0").select("a", "b", "at").distinct()
-
-
-def _long_later(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """a, b of the long lines that have a near line earlier."""
-    firsts = marked.where("keys is not null").select("a", "b", "n", "keys", "s1", "s2", F.expr(_AT).alias("at"))
-    firsts = materialise(firsts.groupBy("a", "b").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "keys", "s1", "s2")]), "long")
-    values = ("at", "a", "b", "n", "s1", "s2")
-    entries = lambda rows: rows.select(F.explode("keys").alias("key"), *values)
-    near = lambda x, y: F.expr(f"least({x}n, {y}n) >= greatest({x}n, {y}n) - {_BOUND.format(f'greatest({x}n, {y}n)')} and bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= 2 * {_BOUND.format(f'greatest({x}n, {y}n)')}")
-
-    def pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-        return rows.select(*[F.col(f"{x}{c}").alias(c) for c in ("at", "a", "b")], F.col(f"{y}at").alias("other"), F.col(f"{y}a").alias("a2"), F.col(f"{y}b").alias("b2")).distinct()
-
-    hub = F.first(F.struct(*values)).over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    hubbed = entries(firsts).withColumn("hub", hub).where("at <> hub.at").where(near("", "hub."))
-    gone = materialise(_long_pairs(docs, materialise(pairs(hubbed, "", "hub."), "hubs")), "hubbed")
-    left = entries(firsts.join(gone.select("at"), "at", "left_anti")).alias("x")
-    met = left.join(entries(firsts).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at")) & near("x.", "y."))
-    more = _long_pairs(docs, materialise(pairs(met, "x.", "y."), "met"))
-    return gone.select("a", "b").unionByName(more.select("a", "b")).distinct()
-
-
-def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """doc_id, line of each line to remove, and near: whether it is the first of its kind, and a near line stands earlier."""
-    marked = materialise(lines(docs, min_words), "lines")
-
-    # lines that share a half with another line
-    halves = marked.where("halves is not null").select("a", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
-    close = halves.join(shared, "half", "left_semi").select("a").distinct()
-    firsts = marked.where("halves is not null").select("a", "b", F.expr(_AT).alias("at")).join(close, "a", "left_semi").groupBy("a", "b").agg(F.min("at").alias("at"))
-    # from here on a line is known by its earliest place
-    known = materialise(_known(docs, firsts), "close")
-
-    # the hash of a sequence is the xor of its words' hashes with their places, so a variant's is made of two running xors
-    spread = known.select("at", F.posexplode("words").alias("i", "w"))
-    before = Window.partitionBy("at").orderBy("i")
-    sofar, earlier, whole = before.rowsBetween(Window.unboundedPreceding, 0), before.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("at")
-
-    def variant(seed: int):
-        here, moved = F.xxhash64("w", "i", F.lit(seed)), F.xxhash64("w", F.col("i") - 1, F.lit(seed))
-        head = F.coalesce(F.bit_xor(here).over(earlier), F.lit(0).cast("long"))
-        return head.bitwiseXOR(F.bit_xor(moved).over(whole)).bitwiseXOR(F.bit_xor(moved).over(sofar))
-
-    variants = materialise(spread.select("at", "i", variant(1).alias("v1"), variant(2).alias("v2")), "variants")
-    full = spread.groupBy("at").agg(F.bit_xor(F.xxhash64("w", "i", F.lit(1))).alias("v1"), F.bit_xor(F.xxhash64("w", "i", F.lit(2))).alias("v2"))
+#: A line of n words is near to none of more than n + n div 9, so no pair of lines that it belongs to has a greater bound.
+_MOST = "n div 9"
+#: Words of a shingle. Longer ones are rarer, but k edits touch more of them; a line of _LONG words has 4 k + 1 and more.
+_SHINGLE = 4
+_SHINGLES = f"transform(sequence(0, n - {_SHINGLE}), i -> xxhash64({', '.join(f'words[i + {j}]' for j in range(_SHINGLE))}))"
+#: How many of its ordered shingles a line needs: as many as hold k + 1 that share no word, of which k edits leave one.
+_PREFIX = f"""aggregate(ordered, named_struct('taken', cast(array() as array<bigint>), 'p', 0),
+    (s, x) -> if(size(s.taken) > {_MOST}, s, named_struct('taken', if(exists(s.taken, y -> pmod(y - (x & 4095) + {_SHINGLE - 1}, 4096) <= 2 * {_SHINGLE - 1}), s.taken, concat(s.taken, array(x & 4095))), 'p', s.p + 1)),
+    s -> s.p)"""
+
+
+def lines(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row for each line that has words: doc_id, line (from 0), t (its words, single spaces between), n, a and b (128 bits
+    of hash of t), solid (t without spaces); with wanted (doc_id, line), little more than those lines."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if wanted is not None:
+        rows = only_wanted(rows, wanted, "doc_id")
+    rows = rows.select("doc_id", F.posexplode(F.split(F.translate(F.lower("text"), "\t\r\f\x0b", "    "), "\n")).alias("line", "raw"))
+    if wanted is not None:
+        rows = only_wanted(rows, wanted, "doc_id", "line")
+    single = F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))
+    rows = rows.where(F.trim("raw") != "").select("doc_id", "line", F.trim(single).alias("t")).withColumn("solid", F.replace("t", F.lit(" "), F.lit("")))
+    return rows.select("doc_id", "line", "t", (F.length("t") - F.length("solid") + 1).alias("n"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b"), "solid")
+
+
+def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """at, doc_id, line, t, n, a, b of the lines at wanted places (doc_id, line), each once."""
+    rows = lines(docs, wanted).join(wanted, ["doc_id", "line"], "left_semi")
+    # repeated rows of a doc_id have their lines at one place
+    return rows.select(F.expr(_AT).alias("at"), "doc_id", "line", "t", "n", "a", "b").dropDuplicates(["at", "a", "b"])
+
+
+def _firsts(docs: DataFrame, made: DataFrame, kinds: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line, t, n of the first line of each kind (a, b, first, times, n) of min_words words or more.
+
+    A line whose hash no repeated line has is the only one of its kind, which a Bloom filter tells without a shuffle.
+    """
+    enough = F.col("n") >= min_words
+    again = kinds.where(enough & (F.col("times") > 1)).select("a", "b", F.expr("cast((first - pmod(first, 4294967296)) div 4294967296 as bigint)").alias("doc_id"), F.expr("cast(pmod(first, 4294967296) as int)").alias("line"))
+    single = unwanted(lines(docs).where(enough), again, "a")
+    # lines that the filter takes for repeated ones
+    taken = only_wanted(made.where(enough), again, "a").join(again, ["a", "b"], "left_anti")
+    places = materialise(again.select("doc_id", "line", "a", "b").unionByName(taken.select("doc_id", "line", "a", "b")), "places")
+    rest = _lines_at(docs, places.select("doc_id", "line")).join(places, ["doc_id", "line", "a", "b"], "left_semi")
+    return single.select("doc_id", "line", "t", "n").unionByName(rest.select("doc_id", "line", "t", "n"))
+
+
+def _frequent(docs: DataFrame) -> list[int]:
+    """The buckets of shingles that are frequent in the long lines of a sample of documents: _FREQUENT numbers at most, whatever the corpus."""
+    some = lines(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_SAMPLE)) == 0)).where(F.col("n") >= _LONG).select("n", F.split("t", " ").alias("words"))
+    counts = some.select(F.explode(F.expr(_SHINGLES)).alias("h")).groupBy(F.pmod("h", F.lit(_BUCKETS)).alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    return [r.k for r in counts.orderBy(F.desc("m"), "k").limit(_FREQUENT).collect()]
+
+
+def _keyed(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """key, doc_id, line: the keys of each first line, of its halves where it is short, of shingles where it is long."""
+    words = F.split("t", " ").alias("words")
+    often = _frequent(docs)
+    # frequent shingles after the others, then by hash; the place of one in its line stands in the last 12 bits
+    placed = lambda h, i: F.when(F.pmod(h, F.lit(_BUCKETS)).isin(often), h.bitwiseOR(F.lit(1 << 62))).otherwise(h.bitwiseAND(F.lit((1 << 62) - 1))).bitwiseAND(F.lit(-4096)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(4095)))
+    ordered = F.slice(F.sort_array(F.transform(F.expr(_SHINGLES), placed)), F.lit(1), F.expr(f"{_SHINGLE} * ({_MOST}) + 1"))
+    rows = firsts.select("doc_id", "line", "t", "n", words)
+    long_keys = F.expr(f"array_distinct(transform(slice(ordered, 1, {_PREFIX}), x -> shiftright(x, 12)))")
+    rows = rows.withColumn("ordered", F.when(F.col("n") >= _LONG, ordered)).withColumn("half", F.when(F.col("n") <= _LONG, F.expr(_HALVES)))
+    none = F.array().cast("array<bigint>")
+    return rows.select(F.explode(F.concat(F.coalesce("half", none), F.coalesce(long_keys, none))).alias("key"), "doc_id", "line")
+
+
+def _short_later(known: DataFrame) -> DataFrame:
+    """a, b of the lines (at, a, b, t) that have a line one word away earlier."""
+    known = known.select("at", "a", "b", F.split("t", " ").alias("words"))
+    hashed = known.select("at", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    without = F.expr("transform(h, (x, i) -> xxhash64(concat(slice(h, 1, i), slice(h, i + 2, size(h)))))")
+    variants = materialise(hashed.select("at", F.posexplode(without).alias("i", "v")), "variants")
     # a word changed: the earliest line of each variant and place, and its other lines
-    hubs = variants.groupBy("v1", "v2", "i").agg(F.min("at").alias("other"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v1", "v2", "i", "other")
-    changed = variants.join(hubs, ["v1", "v2", "i"]).select("at", "other").where("at <> other")
+    hubs = variants.groupBy("v", "i").agg(F.min("at").alias("other"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v", "i", "other")
+    changed = variants.join(hubs, ["v", "i"]).select("at", "other").where("at <> other")
     # a word added: a variant that is a line
-    added = variants.select("v1", "v2", "at").join(full.select("v1", "v2", F.col("at").alias("other")), ["v1", "v2"]).select("at", "other")
+    added = variants.select("v", "at").join(hashed.select(F.xxhash64("h").alias("v"), F.col("at").alias("other")), "v").select("at", "other")
     pairs = changed.unionByName(added).distinct()
 
     # confirm by the words themselves
@@ -181,26 +158,83 @@ def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
         when size(w1) = size(w2) + 1 then concat(slice(w1, 1, {first}), slice(w1, {first} + 2, size(w1))) = w2
         else false end""")
     mine = F.col("at") > F.col("other")
-    later = both.where(near).select(F.when(mine, F.col("a")).otherwise(F.col("a2")).alias("a"), F.when(mine, F.col("b")).otherwise(F.col("b2")).alias("b")).distinct()
+    return both.where(near).select(F.when(mine, F.col("a")).otherwise(F.col("a2")).alias("a"), F.when(mine, F.col("b")).otherwise(F.col("b2")).alias("b"))
+
+
+def _long_later(known: DataFrame, shared: DataFrame) -> DataFrame:
+    """a, b of the lines (at, a, b, n, t) that have a near line earlier, among lines that share a key (key, at, hub)."""
+    known = known.select("at", "a", "b", "n", F.split("t", " ").alias("words"))
+    # each word as one character, by each of two hashes: equal hashes can only make lines nearer, so the greater distance counts
+    text = lambda seed: F.expr(f"decode(unhex(array_join(transform(words, w -> lpad(hex(65536 + pmod(xxhash64({seed}, w), 1048576)), 8, '0')), '')), 'UTF-32')")
+    parity = lambda half: F.expr(f"aggregate(hashes, 0L, (s, h) -> if((h & 64) = {64 * half}, s ^ shiftleft(1L, cast(h & 63 as int)), s))")
+    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
+    sketch = materialise(known.select("at", "n", hashes).select("at", "n", parity(0).alias("s1"), parity(1).alias("s2")), "sketches")
+
+    def bound(x: str, y: str) -> str:
+        return _BOUND.format(f"greatest({x}n, {y}n)")
+
+    def close(x: str, y: str):
+        k = bound(x, y)
+        return F.expr(f"abs({x}n - {y}n) <= {k} and bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= 2 * {k}")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """at, a, b of the pairs (at, other) whose lines are near."""
+        ends = pairs.select("at").unionByName(pairs.select(F.col("other").alias("at"))).distinct()
+        coded = only_wanted(known, ends, "at").select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u"))
+        both = pairs.alias("p").join(coded.alias("x"), F.col("p.at") == F.col("x.at")).join(coded.alias("y"), F.col("p.other") == F.col("y.at"))
+        k = bound("x.", "y.")
+        # beyond the bound levenshtein is -1
+        return both.where(f"levenshtein(x.t, y.t, {k}) >= 0 and levenshtein(x.u, y.u, {k}) >= 0").select("x.at", "x.a", "x.b").distinct()
+
+    hubs = shared.where("at <> hub").select("at", "hub").distinct().alias("p")
+    hubs = hubs.join(sketch.alias("x"), F.col("p.at") == F.col("x.at")).join(sketch.alias("y"), F.col("p.hub") == F.col("y.at")).where(close("x.", "y."))
+    gone = materialise(near(materialise(hubs.select("x.at", F.col("y.at").alias("other")), "hubs")), "hubbed")
+    others = shared.where("at <> hub").join(sketch, "at")
+    left, others = others.join(gone.select("at"), "at", "left_anti").alias("x"), others.alias("y")
+    pairs = left.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at")) & close("x.", "y."))
+    more = near(materialise(pairs.select("x.at", F.col("y.at").alias("other")).distinct(), "pairs"))
+    return gone.select("a", "b").unionByName(more.select("a", "b"))
+
+
+def _removals(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and line of the lines of docs, written, and the removals among them."""
+    made = materialise(lines(docs).select("doc_id", "line", "n", "a", "b", F.xxhash64("solid").alias("c"), F.xxhash64(F.lit(7), "solid").alias("d")), "lines")
+    kinds = materialise(made.groupBy("a", "b", "c", "d").agg(F.min(F.expr(_AT)).alias("first"), F.count(F.lit(1)).alias("times"), F.min("n").alias("n")), "kinds")
+
+    # lines that share a key, with the earliest that has it
+    order = Window.partitionBy("key").orderBy("doc_id", "line")
+    hub = lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    keyed = _keyed(docs, _firsts(docs, made, kinds, min_words))
+    marked = keyed.select("key", "doc_id", "line", hub("doc_id").alias("hub_doc"), hub("line").alias("hub_line"), F.lead("line").over(order).alias("next"))
+    alone = F.col("next").isNull() & (F.col("doc_id") == F.col("hub_doc")) & (F.col("line") == F.col("hub_line"))
+    hub_at = _AT.replace("doc_id", "hub_doc").replace("line", "hub_line")
+    shared = materialise(marked.where(~alone).select("key", "doc_id", "line", F.expr(_AT).alias("at"), F.expr(hub_at).alias("hub")), "shared")
+    known = materialise(_lines_at(docs, shared.select("doc_id", "line").distinct()), "known")
+    later = _short_later(known.where(F.col("n") <= _LONG)).unionByName(_long_later(known.where(F.col("n") >= _LONG), shared.select("key", "at", "hub")))
 
-    later = later.unionByName(_long_later(docs, marked))
-    places = marked.select("a", "b", "c", "d", "doc_id", "line", F.expr(_AT).alias("at"))
-    kinds = places.groupBy("a", "b", "c", "d").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"))
     # equal without spaces
     solid = kinds.groupBy("c", "d").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     spaced = kinds.join(solid, ["c", "d"]).where("first <> earliest").select("a", "b")
-    gone = kinds.join(later.unionByName(spaced).distinct().withColumn("near", F.lit(True)), ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = places.select("a", "b", "doc_id", "line", "at").join(gone, ["a", "b"]).where("near or at <> first")
-    return out.select("doc_id", "line", (F.col("near") & (F.col("at") == F.col("first"))).alias("near")).distinct()
+    near = materialise(later.unionByName(spaced).distinct().withColumn("near", F.lit(True)), "near")
+    gone = kinds.join(near, ["a", "b"], "left").where("near or times > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    out = only_wanted(made, gone, "a").select("a", "b", "doc_id", "line", F.expr(_AT).alias("at")).join(gone, ["a", "b"]).where("near or at <> first")
+    return made, out.select("doc_id", "line", (F.col("near") & (F.col("at") == F.col("first"))).alias("near")).distinct()
+
+
+def removals(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
+    """doc_id, line of each line to remove, and near: whether it is the first of its kind, and a near line stands earlier."""
+    return _removals(docs, min_words)[1]
 
 
-def line_counts(docs: DataFrame, **options) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_removed, n_near, removed array<int> (line numbers)."""
-    gone = removals(docs, **options).groupBy("doc_id").agg(F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("line")).alias("removed"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != "")), F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.join(gone, "doc_id", "left")
+def line_counts(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
+    """One row for each row of docs: doc_id, n_lines (that have words), n_removed, n_near, removed array<int> (line numbers)."""
+    made, gone = _removals(docs, min_words)
+    gone = gone.groupBy("doc_id").agg(F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("line")).alias("removed"))
+    counts = made.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts, "doc_id", "left").join(gone, "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), removed.alias("removed"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("doc_id", none("n_lines"), F.size(removed).cast("long").alias("n_removed"), none("n_near"), removed.alias("removed"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
