@@ -19,17 +19,21 @@ block and a bucket is a task's row, and returns at most k rows a query.
 Defined results: vectors that are null, empty or hold null, NaN or infinite
 components take no part, nor do rows with a null id; only vectors of equal
 dimension are compared; all zero vectors score 0; repeated rows with the
-query's id are its own; other repeated rows each take a rank.
+query's id are its own; other repeated rows each take a rank.  Components and
+scores saturate at the limits of 64 bits: with finite components of 2**30 and
+more many scores can be the same largest number, and smaller ids come first.
 """
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import in_arrow, materialise
 
 BUCKET = "bucket long, n int, dim int, longest double, shortest double, ids binary, data binary"
 
@@ -39,7 +43,8 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float
     x = F.transform(vector_col, lambda c: c.cast("double"))
     whole = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null and size(x) > 0")
     whole = whole.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-    v = F.transform("x", lambda c: F.floor(c * F.lit(scale)).cast("long"))
+    # floor gives longs, and the nearest one beyond their limits
+    v = F.transform("x", lambda c: F.floor(F.least(F.greatest(c * F.lit(scale), F.lit(-(2.0**63))), F.lit(2.0**63))))
     return whole.select("id", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
 
 
@@ -69,14 +74,16 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             yield pack(dim, part)
 
     ordered = rows.repartitionByRange(F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc(), "id")
-    return ordered.select("id", "v", "norm").mapInArrow(run, BUCKET)
+    return in_arrow(ordered.select("id", "v", "norm"), run, BUCKET)
 
 
 def _products(q: np.ndarray, p: np.ndarray, most: float) -> np.ndarray:
     """Exact integer inner products; `most` bounds their size."""
     if most < 2.0**52:
         return np.rint(q.astype(float) @ p.astype(float).T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in p] for x in q], object)
+    # sums of Python's integers, saturated
+    whole = [[sum(map(operator.mul, x, y)) for y in p.tolist()] for x in q.tolist()]
+    return np.array([[min(max(v, -(1 << 63)), (1 << 63) - 1) for v in row] for row in whole], np.int64).reshape(len(q), len(p))
 
 
 def search_bucket(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int, coordinates: int = 4, high: float = 0.8) -> list[tuple[int, int, int]]:
@@ -158,14 +165,14 @@ def _answers(pairs: DataFrame, k: int) -> DataFrame:
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["query_id", "vec_id", "score"])
 
-    return pairs.select("dim", "q_ids", "q_data", "bounds", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score long")
+    return in_arrow(pairs.select("dim", "q_ids", "q_data", "bounds", "ids", "data"), run, "query_id long, vec_id long, score long")
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, bucket_size: int = 2048, block_size: int = 512) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, bucket_size: int = 2048, block_size: int = 4096) -> DataFrame:
     """The k best candidates of each query, from (id, v, norm) tables: query_id, rank, vec_id, score."""
     buckets = materialise(_packed(candidates, bucket_size), "buckets")
     blocks = _packed(queries.dropDuplicates(["id"]), block_size)
-    blocks = blocks.select(F.col("bucket").alias("block"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("longest").alias("q_longest"))
+    blocks = blocks.select(F.col("bucket").alias("block"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     blocks = materialise(blocks, "blocks")
     # every query meets the bucket of the longest vectors of its dimension
     heads = buckets.groupBy("dim").agg(F.max_by("bucket", F.struct("longest", "bucket")).alias("bucket"))
@@ -176,23 +183,27 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, *, bucket_size:
     # bounds of each block, in the order of its queries; a block is no larger than block_size
     def unpack(batches):
         for batch in batches:
-            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for block, dim, ids, data in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 q = np.frombuffer(ids, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block)), pa.array(np.arange(len(q), dtype=np.int32)), pa.array(q)], names=["block", "place", "query_id"])
+                norms = np.linalg.norm(np.frombuffer(data, "<i8").reshape(-1, dim).astype(float), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block)), pa.array(np.arange(len(q), dtype=np.int32)), pa.array(q), pa.array(norms)], names=["block", "place", "query_id", "norm"])
 
-    places = blocks.select("block", "q_ids").mapInArrow(unpack, "block long, place int, query_id long")
-    gathered = places.join(reach, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("t")))).alias("t"))
+    places = in_arrow(blocks.select("block", "dim", "q_ids", "q_data"), unpack, "block long, place int, query_id long, norm double")
+    least = F.coalesce(F.col("least").cast("double"), F.lit(float("-inf")))
+    # the shortest vector that may reach a query's bound; any may where the bound is not positive
+    needs = F.when(least > 0, least / F.col("norm")).otherwise(F.lit(float("-inf")))
+    gathered = places.join(reach, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", least.alias("t")))).alias("t"), F.min(needs).alias("needs"))
 
     def pack(batches):
         for batch in batches:
-            blocks_, ts = batch.column(0), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([blocks_, pa.array([np.array([x["t"] for x in t], "<f8").tobytes() for t in ts], pa.binary()), pa.array([min(x["t"] for x in t) for t in ts], pa.float64())], names=["block", "bounds", "lowest"])
+            ts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array([x["t"] for x in t], "<f8").tobytes() for t in ts], pa.binary()), batch.column(2)], names=["block", "bounds", "needs"])
 
-    bounds = gathered.mapInArrow(pack, "block long, bounds binary, lowest double")
+    bounds = in_arrow(gathered, pack, "block long, bounds binary, needs double")
     bounded = materialise(blocks.join(bounds, "block"), "bounded")
-    # a pair is left out if no vector of the bucket can reach any bound of the block
-    pairs = bounded.select("block", "dim", "q_longest", "lowest").join(buckets.select("bucket", "dim", "longest"), "dim").join(heads.withColumnRenamed("bucket", "head"), "dim")
-    pairs = pairs.where("bucket <> head and q_longest * longest * (1 + 1e-9) >= lowest").select("block", "bucket")
+    # a pair is left out if no vector of the bucket can reach the bound of any query of the block
+    pairs = bounded.select("block", "dim", "needs").join(buckets.select("bucket", "dim", "longest"), "dim").join(heads.withColumnRenamed("bucket", "head"), "dim")
+    pairs = pairs.where("bucket <> head and longest * (1 + 1e-9) >= needs").select("block", "bucket")
     rest = _answers(pairs.join(buckets, "bucket").join(bounded.select("block", "q_ids", "q_data", "bounds"), "block").repartition("block", "bucket"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
