@@ -3,17 +3,22 @@
 Templates are texts of licenses and license statements.  A document is scanned
 in overlapping windows for each template length L: a window begins every
 stride s = max(1, L // 4) words and has L + s words, so any occurrence lies
-whole in one window.  A window holding a template has at least
-(L - 4) / (L - 4 + s) of its shingles in common with it, 0.5 at the least, and
-bands of ``rows`` values out of ``bands`` find it with probability
-1 - (1 - 0.5 ** rows) ** bands, by default 1 - 1e-4 (1 - 1e-8 at 0.75).
-Retrieved templates are confirmed by exact containment: the share of the
-template's distinct shingles that the window holds.
-
-Only windows that hold some template shingle are hashed: others have an empty
-intersection, and no band of theirs could match but by a hash collision.  The
-templates are constants of the call, so what is sent out doesn't grow with the
-corpus; one pass, no shuffle.
+whole in one window.  Templates are retrieved by bands of min-hashes of windows,
+and confirmed by exact containment: the share of the template's distinct
+shingles that the window holds.
+
+What the bands promise: a template of m = L - 4 shingles and a window of
+w = L + s - 4 that holds a share c of them have a similarity of
+c m / (w + m - c m) at least, which at the threshold of 0.8 is 0.495 or more for
+every length; bands of ``rows`` values out of ``bands`` then find it with
+probability 1 - (1 - 0.495 ** rows) ** bands, by default 1 - 1.4e-4.
+``tests/llm`` measures it on windows of that containment.
+
+Only windows that hold some template shingle are hashed, which loses none: others
+have an empty intersection, and no band of theirs could match but by a hash
+collision.  The templates are a table of the call (by default public license
+texts by sections, and statements; see licenses.py), so what is sent out doesn't
+grow with the corpus; one pass, no shuffle.
 
 Defined results: null and empty texts hold nothing; a template of fewer words
 than a shingle is one shingle of its own length; of overlapping windows that
@@ -28,29 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
+from .licenses import TEMPLATES
+from .shared import in_arrow
 
 U64 = np.uint64
 
-#: Public license statements and the opening or core sentences of public licenses.
-TEMPLATES = {
-    "MIT-statement": "Released under the MIT License.",
-    "MIT-licensed": "Licensed under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0-statement": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-
-
 class Index:
     """Templates by band key, for each template length."""
 
@@ -144,4 +131,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, size: int
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(len(keep))], pa.array(out, kind)], names=[*keep, "licenses"])
 
-    return table.mapInArrow(run, kept + ", licenses array<struct<name:string,score:double,begin:bigint,end:bigint>>")
+    return in_arrow(table, run, kept + ", licenses array<struct<name:string,score:double,begin:bigint,end:bigint>>")
