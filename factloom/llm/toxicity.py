@@ -6,13 +6,18 @@ out-of-fold predictions, so a later model sees what it will see of new texts.
 
 Features are the presence of words and of word beginnings, by 64-bit hash.  The
 chain is fitted on the driver from at most ``most_labelled`` labelled documents
-(in hash order of doc_id), of which executors send hashes only, and on at most
-``most_features`` features; it is applied to whole texts in one pass.
+(in hash order of doc_id).  Executors send of each at most ``most_distinct``
+hashes, those smallest by hash, which is every one of a text of a thousand
+words; so what the driver gets is bounded, however long the texts are.  Models
+use the ``most_features`` features of the largest chi-square; out-of-fold
+predictions come from features and weights that know nothing of their fold.  The
+chain is applied to whole texts in one pass.
 
 Defined results: texts that are null or have no words have no features, and get
-the models' intercepts; labels that are null or contradict each other by doc_id
-count as the larger one; without labelled rows all probabilities are 0; rows
-with a null doc_id are scored.
+the models' intercepts; labels that contradict each other by doc_id count as the
+larger one; a category's null labels teach that category nothing, and all others
+what they say; without labelled rows all probabilities are 0; rows with a null
+doc_id are scored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
+from .shared import in_arrow
 
 U64 = np.uint64
 BEGINNINGS = (4, 5, 6)
@@ -96,11 +102,11 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_labelled: int = 8000, most_features: int = 320, folds: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_labelled: int = 8000, most_features: int = 320, most_distinct: int = 4_000, folds: int = 5) -> Chain:
     """Fit a chain; categories: name -> SQL condition over a row of labels, in chain order."""
     names = list(categories)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(F.expr(f"cast({categories[c]} as int)")).alias(f"_{i}") for i, c in enumerate(names)])
-    known = known.dropna().orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
+    known = known.where(F.coalesce(*[F.col(f"_{i}") for i in range(len(names))]).isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
     # at most most_labelled rows of a few numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_id")
     rows = rows.select("_id", F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias("y"), "text")
@@ -110,44 +116,73 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_
             ids, ys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in wb.slices(texts):
                 owner, hashes = _features(texts[a:b])
-                out = [np.unique(hashes[owner == i]).tobytes() for i in range(b - a)]
+                out = [np.unique(hashes[owner == i])[:most_distinct].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), ys.slice(a, b - a), pa.array(out, pa.binary())], names=["id", "y", "seen"])
 
-    got = sorted(rows.mapInArrow(run, "id long, y array<int>, seen binary").toLocalIterator(), key=lambda r: (r.id, bytes(r.seen)))[:most_labelled]
+    got = sorted(in_arrow(rows, run, "id long, y array<int>, seen binary").toLocalIterator(), key=lambda r: (r.id, bytes(r.seen)))[:most_labelled]
     if not got:
         return Chain(names, np.empty(0, U64), [np.full(c + 1, -40.0) for c in range(len(names))])
-    y = np.array([r.y for r in got], float)
-    sets = [np.frombuffer(r.seen, U64) for r in got]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
-    n = len(sets)
-    total = np.bincount(token, minlength=len(tokens))
-    best = np.zeros(len(tokens))
-    for c in range(len(names)):
-        # chi-square of a feature's presence against the category
-        pos, base = np.bincount(token, weights=y[owner, c], minlength=len(tokens)), y[:, c].mean()
-        spread = np.maximum(total * (1 - total / n) * base * (1 - base), 1e-9)
-        best = np.maximum(best, np.where(total >= 3, (pos - total * base) ** 2 / spread, 0))
-    chosen = np.sort(np.argsort(-best, kind="stable")[:most_features])
-    place = np.full(len(tokens), -1)
-    place[chosen] = np.arange(len(chosen))
-    at = place[token] >= 0
-    x = np.zeros((n, len(chosen) + len(names)), np.float32)
-    x[owner[at], place[token[at]]] = 1
+    y = np.array([[np.nan if v is None else v for v in r.y] for r in got], float)
     fold = np.array([hash_fold(r.id, folds) for r in got])
-    d, weights = len(chosen), []
+    sets = [np.frombuffer(r.seen, U64) for r in got]
+    n, owner, flat = len(got), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]), np.concatenate(sets)
+    # the driver's memory is small: only what is needed on stays
+    del got, sets
+    tokens = np.unique(flat)
+    token = np.empty(len(flat), np.int32)
+    for k in range(0, len(flat), 1 << 20):
+        token[k : k + (1 << 20)] = np.searchsorted(tokens, flat[k : k + (1 << 20)])
+    del flat
+    everything = np.ones(n, bool)
+    chosen = best_features(owner, token, len(tokens), y, everything, most_features)
+    probs, weights = np.zeros((n, len(names))), []
+    # features of each fold, chosen without it
+    without = {f: best_features(owner, token, len(tokens), y, fold != f, most_features) for f in range(folds)}
     for c in range(len(names)):
-        now = x[:, : d + c]
-        weights.append(fit_linear(now, y[:, c]))
+        rows = ~np.isnan(y[:, c])
+        x = np.concatenate((presence(owner, token, n, chosen), probs[:, :c]), axis=1)
+        weights.append(fit_linear(x[rows], y[rows, c]) if rows.any() else np.append(np.zeros(x.shape[1]), -40.0))
         # out-of-fold predictions, for the categories that follow
         for f in range(folds if c + 1 < len(names) else 0):
-            held = fold == f
-            if held.any() and not held.all():
-                w = fit_linear(now[~held], y[~held, c])
-                x[held, d + c] = _sigmoid(now[held] @ w[:-1] + w[-1])
+            held, kept = fold == f, rows & (fold != f)
+            if held.any() and kept.any():
+                x = np.concatenate((presence(owner, token, n, without[f]), probs[:, :c]), axis=1)
+                w = fit_linear(x[kept], y[kept, c])
+                probs[held, c] = _sigmoid(x[held] @ w[:-1] + w[-1])
     return Chain(names, tokens[chosen], weights)
 
 
+def best_features(owner: np.ndarray, token: np.ndarray, n_tokens: int, y: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the features with the largest chi-square of presence against any category, over the given rows."""
+    best = np.zeros(n_tokens)
+    for c in range(y.shape[1]):
+        known = rows & ~np.isnan(y[:, c])
+        n = known.sum()
+        if not n:
+            continue
+        total, pos = np.zeros(n_tokens), np.zeros(n_tokens)
+        for k in range(0, len(token), 1 << 20):
+            some, rows_ = token[k : k + (1 << 20)], owner[k : k + (1 << 20)]
+            at = known[rows_]
+            total += np.bincount(some[at], minlength=n_tokens)
+            pos += np.bincount(some[at], weights=y[rows_[at], c], minlength=n_tokens)
+        base = y[known, c].mean()
+        spread = np.maximum(total * (1 - total / n) * base * (1 - base), 1e-9)
+        best = np.maximum(best, np.where(total >= 3, (pos - total * base) ** 2 / spread, 0))
+    return np.sort(np.argsort(-best, kind="stable")[:most])
+
+
+def presence(owner: np.ndarray, token: np.ndarray, n: int, chosen: np.ndarray) -> np.ndarray:
+    """(n, features) of zeros and ones."""
+    out = np.zeros((n, len(chosen)), np.float32)
+    for k in range(0, len(token) if len(chosen) else 0, 1 << 20):
+        some = token[k : k + (1 << 20)]
+        place = np.minimum(np.searchsorted(chosen, some), len(chosen) - 1)
+        at = chosen[place] == some
+        out[owner[k : k + (1 << 20)][at], place[at]] = 1
+    return out
+
+
 def hash_fold(doc_id: int, folds: int) -> int:
     return int(wb.mix(np.array([doc_id & 0xFFFFFFFFFFFFFFFF], U64))[0] % U64(folds))
 
@@ -169,4 +204,4 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) ->
                 probs = chain.predict(pairs // max(len(features), 1), pairs % max(len(features), 1), b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], pa.array(list(probs), pa.list_(pa.float64()))], names=[*keep, "probs"])
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
