@@ -28,3 +28,17 @@ def test_pieces_do_not_depend_on_the_texts_beside():
         alone = unit_dedup.text_units([t], "all", 5, 4)
         mine = together[0] == i
         assert all(sorted(x[mine].tolist()) == sorted(y.tolist()) for x, y in zip(together[2:], alone[2:]))
+
+
+def test_one_word_over_and_over_goes(spark, tmp_path):
+    """Runs of one word of different lengths, also as sentences of one word; runs that no other document holds stay."""
+    rnd = random.Random(6)
+    some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    run = lambda w, n: " ".join([w] * n)
+    texts = [f"{some(20)} {run('heat', 61)} {some(20)}", f"{some(9)} {run('Heat', 53)} {some(30)}", run("own", 90), f"{some(5)} {run('end.', 70)} {some(5)}", f"{run('end.', 55)}\n{some(8)} {run('heat', 15)}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_unit_dedup(spark, str(tmp_path)).collect()}
+    assert [got[d].n_removed > 0 for d in range(5)] == [False, True, False, False, True]
+    for d, word in ((1, "heat"), (4, "end.")):
+        cut = " ".join(texts[d][s.begin : s.end] for s in got[d].spans).lower().split()
+        assert set(cut) == {word} and len(cut) >= 50
