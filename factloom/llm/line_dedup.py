@@ -17,14 +17,16 @@ that is less), or if they differ in white space alone (`data base`, `database`).
    paired: all lines that share a variant at a place differ in that word alone,
    so each is joined to the earliest of its group.
 3. Lines of _LONG words and more have a bound k that grows, and n over k deletion
-   variants are too many (a line of 40 words has 91,390).  An edit touches two
-   word pairs at most, so near lines share all but 2 k of the pairs of either:
-   with pairs in one order for the whole corpus, the first 2 k + 1 of both have
-   one in common (prefix filter).  The order puts pairs that are frequent in a
-   sample of lines last; any order is lossless, a good one keeps groups small.
-   Each line is compared with the earliest that has its pair; only lines that
-   still stay meet all the others, behind a parity sketch of their words (k
-   edits change 2 k of its bits at most).
+   variants are too many (a line of 40 words has 91,390).  Of k + 1 segments of
+   the longer line one is whole in the other, moved by few words: up to _MANY
+   words both lines give the words at all places where that can be.  Longer lines
+   would give too many; their shingles are put in one order for the whole corpus,
+   and each gives the first ones, as many as hold k + 1 that share no word
+   (prefix filter).  The order puts shingles that are frequent in a sample of
+   lines last; any order is lossless, a good one keeps groups small.  Each line
+   is compared with the earliest that has its key; only lines that still stay
+   meet all the others, behind a parity sketch of their words (k edits change
+   2 k of its bits at most), and not again where the key before is the same.
 4. Joined lines are compared word by word; of two near lines the later goes.
 
 So a line is removed if an equal line, or a near line, stands earlier in the
@@ -68,13 +70,27 @@ _BUCKETS, _FREQUENT, _SAMPLE = 1 << 16, 2048, 16
 _BOUND = "greatest(1, {} div 10)"
 #: A line of n words is near to none of more than n + n div 9, so no pair of lines that it belongs to has a greater bound.
 _MOST = "n div 9"
-#: Words of a shingle. Longer ones are rarer, but k edits touch more of them; a line of _LONG words has 4 k + 1 and more.
-_SHINGLE = 4
-_SHINGLES = f"transform(sequence(0, n - {_SHINGLE}), i -> xxhash64({', '.join(f'words[i + {j}]' for j in range(_SHINGLE))}))"
-#: How many of its ordered shingles a line needs: as many as hold k + 1 that share no word, of which k edits leave one.
-_PREFIX = f"""aggregate(ordered, named_struct('taken', cast(array() as array<bigint>), 'p', 0),
-    (s, x) -> if(size(s.taken) > {_MOST}, s, named_struct('taken', if(exists(s.taken, y -> pmod(y - (x & 4095) + {_SHINGLE - 1}, 4096) <= 2 * {_SHINGLE - 1}), s.taken, concat(s.taken, array(x & 4095))), 'p', s.p + 1)),
-    s -> s.p)"""
+#: Lines of fewer words, if both are, are compared by segments; of two near lines with one of _MANY words or more, the other has _FEWER or more.
+_MANY, _FEWER = 50, 45
+#: Words of a shingle. Longer ones are rarer, but k edits touch more of them; a line of _FEWER words has 8 k + 1 and more.
+_SHINGLE = 5
+#: The shingles of t as strings, one from each word on: a regular expression is compiled, a lambda over words is not.
+_SHINGLES = f"regexp_extract_all(t, '(?<![^ ])(?=((?:[^ ]+ ){{{_SHINGLE - 1}}}[^ ]+))', 1)"
+#: The ordered shingles that a line needs: as many as hold k + 1 that share no word, of which k edits leave one.
+_HELD = f"aggregate(ordered, slice(ordered, 1, 0), (s, x) -> if(size(s) > {_MOST} or exists(s, y -> pmod(y - x + {_SHINGLE - 1}, 4096) <= {2 * (_SHINGLE - 1)}), s, concat(s, array(x))))"
+_PREFIX = f"if(size(held) > {_MOST}, array_position(ordered, element_at(held, -1)), size(ordered))"
+
+
+def _segments(k: int) -> tuple[int, list]:
+    """Pairs of long lines with the bound k, the longer of 10 k words or more: words of the shorter at least, and the keys of either line."""
+    least = max(_LONG, 10 * k)
+    size, keys = least // (k + 1), []
+    for i in range(k + 1):
+        # k + 1 segments of the longer line. Before the first whole one that has i edits before it stand i, so it is moved by i
+        # words at most from the start, and by k - i at most from the end
+        start, most = (F.lit(i * size + 1), i) if i <= k // 2 else (F.col("n") - (k + 1 - i) * size + 1, k - i)
+        keys += [F.xxhash64(F.lit(100 * k + i), F.slice("words", start + d, F.lit(size))) for d in range(-most, most + 1)]
+    return max(_LONG, least - k), keys
 
 
 def lines(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -83,12 +99,17 @@ def lines(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if wanted is not None:
         rows = only_wanted(rows, wanted, "doc_id")
-    rows = rows.select("doc_id", F.posexplode(F.split(F.translate(F.lower("text"), "\t\r\f\x0b", "    "), "\n")).alias("line", "raw"))
+    # white space is put in order in whole texts: translate() takes a string for each character, and what filters ask of lines is made again after them
+    spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), "\t\r\f\x0b", F.lower("text"))
+    rows = rows.select("doc_id", spaced.alias("text"))
+    rows = rows.select("doc_id", F.when(F.contains("text", F.lit("  ")), F.regexp_replace("text", " +", " ")).otherwise(F.col("text")).alias("text"))
+    trimmed = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("\n")), (" \n", "\n "), F.col("text"))
+    rows = rows.select("doc_id", F.posexplode(F.split(F.trim(trimmed), "\n")).alias("line", "t"))
     if wanted is not None:
         rows = only_wanted(rows, wanted, "doc_id", "line")
-    single = F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))
-    rows = rows.where(F.trim("raw") != "").select("doc_id", "line", F.trim(single).alias("t")).withColumn("solid", F.replace("t", F.lit(" "), F.lit("")))
-    return rows.select("doc_id", "line", "t", (F.length("t") - F.length("solid") + 1).alias("n"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b"), "solid")
+    rows = rows.where("t <> ''").withColumn("solid", F.replace("t", F.lit(" "), F.lit("")))
+    n = F.octet_length("t") - F.octet_length("solid") + 1
+    return rows.select("doc_id", "line", "t", n.alias("n"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b"), "solid")
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -115,23 +136,32 @@ def _firsts(docs: DataFrame, made: DataFrame, kinds: DataFrame, min_words: int)
 
 def _frequent(docs: DataFrame) -> list[int]:
     """The buckets of shingles that are frequent in the long lines of a sample of documents: _FREQUENT numbers at most, whatever the corpus."""
-    some = lines(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_SAMPLE)) == 0)).where(F.col("n") >= _LONG).select("n", F.split("t", " ").alias("words"))
-    counts = some.select(F.explode(F.expr(_SHINGLES)).alias("h")).groupBy(F.pmod("h", F.lit(_BUCKETS)).alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    some = lines(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_SAMPLE)) == 0)).where(F.col("n") >= _FEWER)
+    counts = some.select(F.explode(F.expr(_SHINGLES)).alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(_BUCKETS)).alias("k")).agg(F.count(F.lit(1)).alias("m"))
     return [r.k for r in counts.orderBy(F.desc("m"), "k").limit(_FREQUENT).collect()]
 
 
 def _keyed(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """key, doc_id, line: the keys of each first line, of its halves where it is short, of shingles where it is long."""
-    words = F.split("t", " ").alias("words")
+    """key, doc_id, line: the keys of each first line, of its halves where it is short, of segments or shingles where it is long."""
     often = _frequent(docs)
-    # frequent shingles after the others, then by hash; the place of one in its line stands in the last 12 bits
-    placed = lambda h, i: F.when(F.pmod(h, F.lit(_BUCKETS)).isin(often), h.bitwiseOR(F.lit(1 << 62))).otherwise(h.bitwiseAND(F.lit((1 << 62) - 1))).bitwiseAND(F.lit(-4096)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(4095)))
+
+    def placed(x, i):
+        """Frequent shingles after the others, then by hash; the place of one in its line stands in the last 12 bits."""
+        h = F.xxhash64(x)
+        late = F.when(F.pmod(h, F.lit(_BUCKETS)).isin(often), F.lit(1 << 62)).otherwise(F.lit(0)) if often else F.lit(0)
+        return h.bitwiseAND(F.lit((1 << 62) - 4096)).bitwiseOR(late).bitwiseOR(i.cast("long").bitwiseAND(F.lit(4095)))
+
     ordered = F.slice(F.sort_array(F.transform(F.expr(_SHINGLES), placed)), F.lit(1), F.expr(f"{_SHINGLE} * ({_MOST}) + 1"))
-    rows = firsts.select("doc_id", "line", "t", "n", words)
-    long_keys = F.expr(f"array_distinct(transform(slice(ordered, 1, {_PREFIX}), x -> shiftright(x, 12)))")
-    rows = rows.withColumn("ordered", F.when(F.col("n") >= _LONG, ordered)).withColumn("half", F.when(F.col("n") <= _LONG, F.expr(_HALVES)))
+    rows = firsts.select("doc_id", "line", "t", "n", F.split("t", " ").alias("words"))
     none = F.array().cast("array<bigint>")
-    return rows.select(F.explode(F.concat(F.coalesce("half", none), F.coalesce(long_keys, none))).alias("key"), "doc_id", "line")
+    keys = [F.when(F.col("n") <= _LONG, F.expr(_HALVES)).otherwise(none)]
+    for k in range(1, _MANY // 10):
+        least, segments = _segments(k)
+        keys.append(F.when(F.col("n").between(least, 10 * k + 9), F.array(*segments)).otherwise(none))
+    rows = rows.withColumn("ordered", F.when(F.col("n") >= _FEWER, ordered))
+    rows = rows.withColumn("held", F.expr(_HELD))
+    keys.append(F.coalesce(F.expr(f"transform(slice(ordered, 1, cast({_PREFIX} as int)), x -> shiftright(x, 12))"), none))
+    return rows.select(F.explode(F.array_distinct(F.concat(*keys))).alias("key"), "doc_id", "line")
 
 
 def _short_later(known: DataFrame) -> DataFrame:
@@ -168,7 +198,9 @@ def _long_later(known: DataFrame, shared: DataFrame) -> DataFrame:
     text = lambda seed: F.expr(f"decode(unhex(array_join(transform(words, w -> lpad(hex(65536 + pmod(xxhash64({seed}, w), 1048576)), 8, '0')), '')), 'UTF-32')")
     parity = lambda half: F.expr(f"aggregate(hashes, 0L, (s, h) -> if((h & 64) = {64 * half}, s ^ shiftleft(1L, cast(h & 63 as int)), s))")
     hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
-    sketch = materialise(known.select("at", "n", hashes).select("at", "n", parity(0).alias("s1"), parity(1).alias("s2")), "sketches")
+    made = known.select("at", "a", "b", "n", "words", hashes)
+    coded = materialise(made.select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u"), parity(0).alias("s1"), parity(1).alias("s2")), "coded")
+    sketch = coded.select("at", "n", "s1", "s2")
 
     def bound(x: str, y: str) -> str:
         return _BOUND.format(f"greatest({x}n, {y}n)")
@@ -179,8 +211,6 @@ def _long_later(known: DataFrame, shared: DataFrame) -> DataFrame:
 
     def near(pairs: DataFrame) -> DataFrame:
         """at, a, b of the pairs (at, other) whose lines are near."""
-        ends = pairs.select("at").unionByName(pairs.select(F.col("other").alias("at"))).distinct()
-        coded = only_wanted(known, ends, "at").select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u"))
         both = pairs.alias("p").join(coded.alias("x"), F.col("p.at") == F.col("x.at")).join(coded.alias("y"), F.col("p.other") == F.col("y.at"))
         k = bound("x.", "y.")
         # beyond the bound levenshtein is -1
@@ -189,9 +219,11 @@ def _long_later(known: DataFrame, shared: DataFrame) -> DataFrame:
     hubs = shared.where("at <> hub").select("at", "hub").distinct().alias("p")
     hubs = hubs.join(sketch.alias("x"), F.col("p.at") == F.col("x.at")).join(sketch.alias("y"), F.col("p.hub") == F.col("y.at")).where(close("x.", "y."))
     gone = materialise(near(materialise(hubs.select("x.at", F.col("y.at").alias("other")), "hubs")), "hubbed")
-    others = shared.where("at <> hub").join(sketch, "at")
+    # two lines that share the key before too meet there, or there one is the hub of the other: no need to meet again
+    before = shared.withColumn("before", F.lag("key").over(Window.partitionBy("at").orderBy("key")))
+    others = before.where("at <> hub").join(sketch, "at")
     left, others = others.join(gone.select("at"), "at", "left_anti").alias("x"), others.alias("y")
-    pairs = left.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at")) & close("x.", "y."))
+    pairs = left.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at")) & F.expr("not x.before <=> y.before or x.before is null") & close("x.", "y."))
     more = near(materialise(pairs.select("x.at", F.col("y.at").alias("other")).distinct(), "pairs"))
     return gone.select("a", "b").unionByName(more.select("a", "b"))
 
