@@ -25,8 +25,9 @@ that is less), or if they differ in white space alone (`data base`, `database`).
    (prefix filter).  The order puts shingles that are frequent in a sample of
    lines last; any order is lossless, a good one keeps groups small.  Each line
    is compared with the earliest that has its key; only lines that still stay
-   meet all the others, behind a parity sketch of their words (k edits change
-   2 k of its bits at most), and not again where the key before is the same.
+   meet the others, a few at first and then more at a time, behind a parity
+   sketch of their words (k edits change 2 k of its bits at most), and not again
+   where the key before is the same.
 4. Joined lines are compared word by word; of two near lines the later goes.
 
 So a line is removed if an equal line, or a near line, stands earlier in the
@@ -68,17 +69,31 @@ _LONG = 18
 #: Shingles are frequent if the bucket of their hash is among the _FREQUENT largest, of _BUCKETS, in one of _SAMPLE documents.
 _BUCKETS, _FREQUENT, _SAMPLE = 1 << 16, 2048, 16
 _BOUND = "greatest(1, {} div 10)"
+#: A line that is near no first line of its keys meets the others by their place among the lines of a key, from these places on in turn.
+_ROUNDS = (2, 4, 16)
 #: A line of n words is near to none of more than n + n div 9, so no pair of lines that it belongs to has a greater bound.
 _MOST = "n div 9"
 #: Lines of fewer words, if both are, are compared by segments; of two near lines with one of _MANY words or more, the other has _FEWER or more.
 _MANY, _FEWER = 50, 45
-#: Words of a shingle. Longer ones are rarer, but k edits touch more of them; a line of _FEWER words has 8 k + 1 and more.
-_SHINGLE = 5
-#: The shingles of t as strings, one from each word on: a regular expression is compiled, a lambda over words is not.
-_SHINGLES = f"regexp_extract_all(t, '(?<![^ ])(?=((?:[^ ]+ ){{{_SHINGLE - 1}}}[^ ]+))', 1)"
-#: The ordered shingles that a line needs: as many as hold k + 1 that share no word, of which k edits leave one.
-_HELD = f"aggregate(ordered, slice(ordered, 1, 0), (s, x) -> if(size(s) > {_MOST} or exists(s, y -> pmod(y - x + {_SHINGLE - 1}, 4096) <= {2 * (_SHINGLE - 1)}), s, concat(s, array(x))))"
-_PREFIX = f"if(size(held) > {_MOST}, array_position(ordered, element_at(held, -1)), size(ordered))"
+#: Words of a shingle. Longer ones are rarer, but k edits touch more of them.
+_SHINGLE = 3
+#: The last bits of a shingle are its place in the line; all places beyond count as one.
+_PLACES = (1 << 16) - 1
+#: The shingles of a line as sums of its words' hashes, below 15 less the bytes of the first word (15 at most): long words are rare.
+_HASHES = f"transform(words, w -> xxhash64(w) & {(1 << 54) - 1 - _PLACES})"
+_SHINGLES = f"transform(slice(words, 1, size(words) - {_SHINGLE - 1}), (w, i) -> shiftleft(15L - least(octet_length(w), 15), 56) + {' + '.join(f'hashes[i + {d}]' for d in range(_SHINGLE))} + least(i, {_PLACES}))"
+#: Ordered shingles of which one surely survives k edits, and the tries for fewer: those that hold k + 1 that share no word.
+_ENOUGH = f"{_SHINGLE} * ({_MOST}) + 1"
+_TRIES = [f"{_MOST} + ({_MOST}) div {x} + 2" for x in (4, 2, 1)]
+
+
+def _apart(m: str) -> str:
+    """How many of the first m ordered shingles share no word, at most: places from the left, each behind the one taken before."""
+    places = f"array_sort(transform(slice(ordered, 1, cast({m} as int)), x -> x & {_PLACES}))"
+    return f"shiftright(aggregate({places}, 0L, (s, p) -> if(p >= (s & 1048575), shiftleft(shiftright(s, 20) + 1, 20) + p + {_SHINGLE}, s)), 20)"
+
+
+_PREFIX = f"case {' '.join(f'when {_apart(m)} > {_MOST} then {m}' for m in _TRIES)} else {_ENOUGH} end"
 
 
 def _segments(k: int) -> tuple[int, list]:
@@ -89,7 +104,7 @@ def _segments(k: int) -> tuple[int, list]:
         # k + 1 segments of the longer line. Before the first whole one that has i edits before it stand i, so it is moved by i
         # words at most from the start, and by k - i at most from the end
         start, most = (F.lit(i * size + 1), i) if i <= k // 2 else (F.col("n") - (k + 1 - i) * size + 1, k - i)
-        keys += [F.xxhash64(F.lit(100 * k + i), F.slice("words", start + d, F.lit(size))) for d in range(-most, most + 1)]
+        keys += [F.xxhash64(F.lit(100 * k + i), F.slice("hashes", start + d, F.lit(size))) for d in range(-most, most + 1)]
     return max(_LONG, least - k), keys
 
 
@@ -115,8 +130,8 @@ def lines(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """at, doc_id, line, t, n, a, b of the lines at wanted places (doc_id, line), each once."""
     rows = lines(docs, wanted).join(wanted, ["doc_id", "line"], "left_semi")
-    # repeated rows of a doc_id have their lines at one place
-    return rows.select(F.expr(_AT).alias("at"), "doc_id", "line", "t", "n", "a", "b").dropDuplicates(["at", "a", "b"])
+    # repeated rows of a doc_id have their lines at one place; texts stay where the join has dealt them
+    return rows.dropDuplicates(["doc_id", "line", "a", "b"]).select(F.expr(_AT).alias("at"), "doc_id", "line", "t", "n", "a", "b")
 
 
 def _firsts(docs: DataFrame, made: DataFrame, kinds: DataFrame, min_words: int) -> DataFrame:
@@ -134,10 +149,16 @@ def _firsts(docs: DataFrame, made: DataFrame, kinds: DataFrame, min_words: int)
     return single.select("doc_id", "line", "t", "n").unionByName(rest.select("doc_id", "line", "t", "n"))
 
 
+def _bucket(x):
+    """The bucket of a shingle: the bits above those that its place takes."""
+    return F.shiftright(x, 16).bitwiseAND(F.lit(_BUCKETS - 1))
+
+
 def _frequent(docs: DataFrame) -> list[int]:
     """The buckets of shingles that are frequent in the long lines of a sample of documents: _FREQUENT numbers at most, whatever the corpus."""
     some = lines(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_SAMPLE)) == 0)).where(F.col("n") >= _FEWER)
-    counts = some.select(F.explode(F.expr(_SHINGLES)).alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(_BUCKETS)).alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    some = some.select(F.split("t", " ").alias("words")).withColumn("hashes", F.expr(_HASHES))
+    counts = some.select(F.explode(F.expr(_SHINGLES)).alias("x")).groupBy(_bucket(F.col("x")).alias("k")).agg(F.count(F.lit(1)).alias("m"))
     return [r.k for r in counts.orderBy(F.desc("m"), "k").limit(_FREQUENT).collect()]
 
 
@@ -145,22 +166,20 @@ def _keyed(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """key, doc_id, line: the keys of each first line, of its halves where it is short, of segments or shingles where it is long."""
     often = _frequent(docs)
 
-    def placed(x, i):
-        """Frequent shingles after the others, then by hash; the place of one in its line stands in the last 12 bits."""
-        h = F.xxhash64(x)
-        late = F.when(F.pmod(h, F.lit(_BUCKETS)).isin(often), F.lit(1 << 62)).otherwise(F.lit(0)) if often else F.lit(0)
-        return h.bitwiseAND(F.lit((1 << 62) - 4096)).bitwiseOR(late).bitwiseOR(i.cast("long").bitwiseAND(F.lit(4095)))
+    def late(x):
+        """Frequent shingles come after the others, which stand in the order of their bits."""
+        return x + F.when(_bucket(x).isin(often), F.lit(1 << 62)).otherwise(F.lit(0)) if often else x
 
-    ordered = F.slice(F.sort_array(F.transform(F.expr(_SHINGLES), placed)), F.lit(1), F.expr(f"{_SHINGLE} * ({_MOST}) + 1"))
+    ordered = F.slice(F.sort_array(F.transform(F.expr(_SHINGLES), late)), F.lit(1), F.expr(f"cast({_ENOUGH} as int)"))
     rows = firsts.select("doc_id", "line", "t", "n", F.split("t", " ").alias("words"))
     none = F.array().cast("array<bigint>")
     keys = [F.when(F.col("n") <= _LONG, F.expr(_HALVES)).otherwise(none)]
     for k in range(1, _MANY // 10):
         least, segments = _segments(k)
         keys.append(F.when(F.col("n").between(least, 10 * k + 9), F.array(*segments)).otherwise(none))
+    rows = rows.withColumn("hashes", F.when(F.col("n") >= _LONG, F.expr(_HASHES)))
     rows = rows.withColumn("ordered", F.when(F.col("n") >= _FEWER, ordered))
-    rows = rows.withColumn("held", F.expr(_HELD))
-    keys.append(F.coalesce(F.expr(f"transform(slice(ordered, 1, cast({_PREFIX} as int)), x -> shiftright(x, 12))"), none))
+    keys.append(F.coalesce(F.expr(f"transform(slice(ordered, 1, cast({_PREFIX} as int)), x -> shiftright(x, 16))"), none))
     return rows.select(F.explode(F.array_distinct(F.concat(*keys))).alias("key"), "doc_id", "line")
 
 
@@ -192,15 +211,12 @@ def _short_later(known: DataFrame) -> DataFrame:
 
 
 def _long_later(known: DataFrame, shared: DataFrame) -> DataFrame:
-    """a, b of the lines (at, a, b, n, t) that have a near line earlier, among lines that share a key (key, at, hub)."""
-    known = known.select("at", "a", "b", "n", F.split("t", " ").alias("words"))
+    """a, b of the lines (at, a, b, n, t) that have a near line earlier, among lines that share a key (key, at, hub, place in its order)."""
     # each word as one character, by each of two hashes: equal hashes can only make lines nearer, so the greater distance counts
     text = lambda seed: F.expr(f"decode(unhex(array_join(transform(words, w -> lpad(hex(65536 + pmod(xxhash64({seed}, w), 1048576)), 8, '0')), '')), 'UTF-32')")
     parity = lambda half: F.expr(f"aggregate(hashes, 0L, (s, h) -> if((h & 64) = {64 * half}, s ^ shiftleft(1L, cast(h & 63 as int)), s))")
-    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
-    made = known.select("at", "a", "b", "n", "words", hashes)
-    coded = materialise(made.select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u"), parity(0).alias("s1"), parity(1).alias("s2")), "coded")
-    sketch = coded.select("at", "n", "s1", "s2")
+    made = known.select("at", "n", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    sketch = materialise(made.select("at", "n", parity(0).alias("s1"), parity(1).alias("s2")), "sketch")
 
     def bound(x: str, y: str) -> str:
         return _BOUND.format(f"greatest({x}n, {y}n)")
@@ -209,23 +225,30 @@ def _long_later(known: DataFrame, shared: DataFrame) -> DataFrame:
         k = bound(x, y)
         return F.expr(f"abs({x}n - {y}n) <= {k} and bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= 2 * {k}")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """at, a, b of the pairs (at, other) whose lines are near."""
+    def near(pairs: DataFrame, label: str) -> DataFrame:
+        """at, a, b of the pairs (at, other), written, whose lines are near. Only lines of pairs are coded."""
+        ends = pairs.select("at").unionByName(pairs.select(F.col("other").alias("at")))
+        words = only_wanted(known, ends, "at").select("at", "a", "b", "n", F.split("t", " ").alias("words"))
+        coded = materialise(words.select("at", "a", "b", "n", text(1).alias("t"), text(2).alias("u")), "coded")
         both = pairs.alias("p").join(coded.alias("x"), F.col("p.at") == F.col("x.at")).join(coded.alias("y"), F.col("p.other") == F.col("y.at"))
         k = bound("x.", "y.")
         # beyond the bound levenshtein is -1
-        return both.where(f"levenshtein(x.t, y.t, {k}) >= 0 and levenshtein(x.u, y.u, {k}) >= 0").select("x.at", "x.a", "x.b").distinct()
+        return materialise(both.where(f"levenshtein(x.t, y.t, {k}) >= 0 and levenshtein(x.u, y.u, {k}) >= 0").select("x.at", "x.a", "x.b").distinct(), label)
 
     hubs = shared.where("at <> hub").select("at", "hub").distinct().alias("p")
     hubs = hubs.join(sketch.alias("x"), F.col("p.at") == F.col("x.at")).join(sketch.alias("y"), F.col("p.hub") == F.col("y.at")).where(close("x.", "y."))
-    gone = materialise(near(materialise(hubs.select("x.at", F.col("y.at").alias("other")), "hubs")), "hubbed")
+    gone = near(materialise(hubs.select("x.at", F.col("y.at").alias("other")), "hubs"), "hubbed")
     # two lines that share the key before too meet there, or there one is the hub of the other: no need to meet again
     before = shared.withColumn("before", F.lag("key").over(Window.partitionBy("at").orderBy("key")))
-    others = before.where("at <> hub").join(sketch, "at")
-    left, others = others.join(gone.select("at"), "at", "left_anti").alias("x"), others.alias("y")
-    pairs = left.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at")) & F.expr("not x.before <=> y.before or x.before is null") & close("x.", "y."))
-    more = near(materialise(pairs.select("x.at", F.col("y.at").alias("other")).distinct(), "pairs"))
-    return gone.select("a", "b").unionByName(more.select("a", "b"))
+    others = materialise(before.where("at <> hub").select("key", "at", "place", "before").join(sketch, "at"), "others")
+    # among many close lines one soon meets a near one; only those that don't meet the rest of their key, more at a time
+    for first, last in zip(_ROUNDS, (*_ROUNDS[1:], None)):
+        left = others.where(F.col("place") > first).join(gone.select("at"), "at", "left_anti").alias("x")
+        some = others.where((F.col("place") >= first) if last is None else F.col("place").between(first, last - 1)).alias("y")
+        pairs = left.join(some, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") > F.col("y.place")) & (F.col("x.at") != F.col("y.at")) & F.expr("not x.before <=> y.before or x.before is null") & close("x.", "y."))
+        more = near(materialise(pairs.select("x.at", F.col("y.at").alias("other")).distinct(), "pairs"), "more")
+        gone = gone.unionByName(more)
+    return gone.select("a", "b")
 
 
 def _removals(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -237,12 +260,12 @@ def _removals(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("key").orderBy("doc_id", "line")
     hub = lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
     keyed = _keyed(docs, _firsts(docs, made, kinds, min_words))
-    marked = keyed.select("key", "doc_id", "line", hub("doc_id").alias("hub_doc"), hub("line").alias("hub_line"), F.lead("line").over(order).alias("next"))
+    marked = keyed.select("key", "doc_id", "line", hub("doc_id").alias("hub_doc"), hub("line").alias("hub_line"), F.lead("line").over(order).alias("next"), F.row_number().over(order).alias("place"))
     alone = F.col("next").isNull() & (F.col("doc_id") == F.col("hub_doc")) & (F.col("line") == F.col("hub_line"))
     hub_at = _AT.replace("doc_id", "hub_doc").replace("line", "hub_line")
-    shared = materialise(marked.where(~alone).select("key", "doc_id", "line", F.expr(_AT).alias("at"), F.expr(hub_at).alias("hub")), "shared")
+    shared = materialise(marked.where(~alone).select("key", "doc_id", "line", F.expr(_AT).alias("at"), F.expr(hub_at).alias("hub"), "place"), "shared")
     known = materialise(_lines_at(docs, shared.select("doc_id", "line").distinct()), "known")
-    later = _short_later(known.where(F.col("n") <= _LONG)).unionByName(_long_later(known.where(F.col("n") >= _LONG), shared.select("key", "at", "hub")))
+    later = _short_later(known.where(F.col("n") <= _LONG)).unionByName(_long_later(known.where(F.col("n") >= _LONG), shared.select("key", "at", "hub", "place")))
 
     # equal without spaces
     solid = kinds.groupBy("c", "d").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
