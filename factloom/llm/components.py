@@ -20,7 +20,15 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
         out = out.unionByName(lowest.where("m < u").select("u", F.col("m").alias("v")))
     else:
         out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v")
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether each node u has one link, and that to a node without one: then v is the smallest of its component."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    found = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not found.agg(F.count_if(F.expr("up > 1 or up = 1 and down = 1")).alias("n")).first().n
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -34,13 +42,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u > v").distinct()
     now = materialise(now, "links")
-    mark = None
-    while True:
-        now = materialise(_star(_star(now, True), False), "stars")
-        # the sum of a hash over all links tells whether the set has changed
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == mark:
-            break
-        mark = (row.n, row.h)
+    # asked before each round: no round runs only to change nothing
+    while not _settled(now):
+        now = materialise(_star(_star(now, True), False).distinct(), "stars")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -273,8 +273,13 @@ def near_components(docs: DataFrame, reps: DataFrame, size: int, percent: int, g
     more = materialise(open_links(docs, reps, members, size, percent, group_words, group_docs), "open-links")
     if more.isEmpty():
         return found
-    # a link says the same of the components that its ends are in
-    return components(near.unionByName(more), "a", "b")
+    # a link says the same of the components that its ends are in, so the links settled above take no second part
+    inside = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    outer = more.join(inside("a"), "a", "left").join(inside("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    over = components(outer, "a", "b")
+    top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    joined = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return joined.unionByName(over.join(found, "node", "left_anti").select("node", "component"))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 24, perms: int = 2, group_words: int = 2_000_000, group_docs: int = 4_000, ties: bool = False) -> DataFrame:

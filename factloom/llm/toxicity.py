@@ -5,10 +5,11 @@ text and the probabilities of all earlier categories.  In training those are
 out-of-fold predictions, so a later model sees what it will see of new texts.
 
 Features are the presence of words and of word beginnings, by 64-bit hash.  The
-chain is fitted on the driver from at most ``most_labelled`` labelled documents
-(in hash order of doc_id).  Executors send of each at most ``most_distinct``
-hashes, those smallest by hash, which is every one of a text of a thousand
-words; so what the driver gets is bounded, however long the texts are.  Models
+chain is fitted by one task from at most ``most_labelled`` labelled documents
+(in hash order of doc_id).  It gets of each at most ``most_distinct`` hashes,
+those smallest by hash, which is every one of a text of a thousand words; so
+what it holds is bounded, however long the texts are.  The driver gets only the
+chain, a few kilobytes: beside its JVM there is little room.  Models
 use the ``most_features`` features of the largest chi-square; out-of-fold
 predictions come from features and weights that know nothing of their fold.  The
 chain is applied to whole texts in one pass.
@@ -119,15 +120,31 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_
                 out = [np.unique(hashes[owner == i])[:most_distinct].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), ys.slice(a, b - a), pa.array(out, pa.binary())], names=["id", "y", "seen"])
 
-    got = sorted(in_arrow(rows, run, "id long, y array<int>, seen binary").toLocalIterator(), key=lambda r: (r.id, bytes(r.seen)))[:most_labelled]
-    if not got:
+    def learn(batches):
+        got = []
+        for batch in batches:
+            got += zip(*(batch.column(k).to_pylist() for k in range(3)))
+            # repeated rows of a doc_id may be more than that
+            if len(got) > 2 * most_labelled:
+                got = sorted(got, key=lambda r: (r[0], r[2]))[:most_labelled]
+        if got:
+            features, weights = _learned(sorted(got, key=lambda r: (r[0], r[2]))[:most_labelled], len(names), most_features, folds)
+            yield pa.RecordBatch.from_arrays([pa.array([features.tobytes()]), pa.array([[w.tobytes() for w in weights]])], names=["features", "weights"])
+
+    seen = in_arrow(rows, run, "id long, y array<int>, seen binary")
+    row = in_arrow(seen.repartition(1), learn, "features binary, weights array<binary>").first()
+    if row is None:
         return Chain(names, np.empty(0, U64), [np.full(c + 1, -40.0) for c in range(len(names))])
-    y = np.array([[np.nan if v is None else v for v in r.y] for r in got], float)
-    fold = np.array([hash_fold(r.id, folds) for r in got])
-    sets = [np.frombuffer(r.seen, U64) for r in got]
+    return Chain(names, np.frombuffer(bytes(row.features), U64), [np.frombuffer(bytes(w)) for w in row.weights])
+
+
+def _learned(got: list[tuple[int, list[int | None], bytes]], categories: int, most_features: int, folds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Features and weights of a chain from (doc_id, labels, feature hashes) of each document."""
+    y = np.array([[np.nan if v is None else v for v in r[1]] for r in got], float)
+    fold = np.array([hash_fold(r[0], folds) for r in got])
+    sets = [np.frombuffer(r[2], U64) for r in got]
     n, owner, flat = len(got), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]), np.concatenate(sets)
-    # the driver's memory is small: only what is needed on stays
-    del got, sets
+    del sets
     tokens = np.unique(flat)
     token = np.empty(len(flat), np.int32)
     for k in range(0, len(flat), 1 << 20):
@@ -135,21 +152,21 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, most_
     del flat
     everything = np.ones(n, bool)
     chosen = best_features(owner, token, len(tokens), y, everything, most_features)
-    probs, weights = np.zeros((n, len(names))), []
+    probs, weights = np.zeros((n, categories)), []
     # features of each fold, chosen without it
     without = {f: best_features(owner, token, len(tokens), y, fold != f, most_features) for f in range(folds)}
-    for c in range(len(names)):
+    for c in range(categories):
         rows = ~np.isnan(y[:, c])
         x = np.concatenate((presence(owner, token, n, chosen), probs[:, :c]), axis=1)
         weights.append(fit_linear(x[rows], y[rows, c]) if rows.any() else np.append(np.zeros(x.shape[1]), -40.0))
         # out-of-fold predictions, for the categories that follow
-        for f in range(folds if c + 1 < len(names) else 0):
+        for f in range(folds if c + 1 < categories else 0):
             held, kept = fold == f, rows & (fold != f)
             if held.any() and kept.any():
                 x = np.concatenate((presence(owner, token, n, without[f]), probs[:, :c]), axis=1)
                 w = fit_linear(x[kept], y[kept, c])
                 probs[held, c] = _sigmoid(x[held] @ w[:-1] + w[-1])
-    return Chain(names, tokens[chosen], weights)
+    return tokens[chosen], weights
 
 
 def best_features(owner: np.ndarray, token: np.ndarray, n_tokens: int, y: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
