@@ -18,7 +18,7 @@ Spark stages:
 4. in the other buckets, members that their hub doesn't reach are compared with
    all the rest (see open_links), again on full sets: a group returns a spanning
    forest, since links between connected documents change nothing;
-5. components over all confirmed links.
+5. those links join the components of step 3 to larger ones.
 
 Texts move only where they are compared: a Bloom filter of fixed size keeps the
 others from being shuffled.
